@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from lexivec.llm import exact_dedup, line_dedup, url_reputation
+from lexivec.llm import bpe, exact_dedup, line_dedup, packing, secret_scan, url_reputation, winnow
 from lexivec.llm.common import table
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -14,8 +26,23 @@ def op8_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_winnowing(spark, sf_dir):
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_url_reputation, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_secret_scan,
+        op5_bpe,
+        op6_packing,
+        op7_exact_dedup,
+        op8_url_reputation,
+        op9_winnowing,
+        op10_line_dedup,
+    )
+}
