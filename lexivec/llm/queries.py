@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from lexivec.llm import bpe, exact_dedup, line_dedup, packing, secret_scan, url_reputation, winnow
+from lexivec.llm import (
+    bpe,
+    exact_dedup,
+    html_main,
+    line_dedup,
+    packing,
+    quality_gam,
+    secret_scan,
+    url_reputation,
+    winnow,
+)
 from lexivec.llm.common import table
 
 
+def op1_quality_gam(spark, sf_dir):
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_main(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +55,8 @@ def op10_line_dedup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_gam,
+        op3_html_main,
         op4_secret_scan,
         op5_bpe,
         op6_packing,
