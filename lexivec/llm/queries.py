@@ -7,6 +7,7 @@ from lexivec.llm import (
     exact_dedup,
     html_main,
     line_dedup,
+    ngram_join,
     packing,
     quality_gam,
     secret_scan,
@@ -20,6 +21,10 @@ def op1_quality_gam(spark, sf_dir):
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op3_html_main(spark, sf_dir):
     return html_main.extract(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_gam,
+        op2_ngram_join,
         op3_html_main,
         op4_secret_scan,
         op5_bpe,
