@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +28,20 @@ def ascii_lower(column: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Bytes of text that a worker takes apart at a time; a longer text comes alone, and whole.
+SLICE_BYTES = 6_000_000
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded text size, each in buffers of its own."""
+    texts = batch.column(column)
+    if texts.nbytes <= most or len(texts) < 2:
+        yield batch
+        return
+    sizes = np.cumsum(np.fromiter((len(t.as_buffer() or b"") if t.is_valid else 0 for t in texts), np.int64, len(texts)))
+    part = sizes // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.take(pa.array(np.arange(a, b)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import shuffle_partitions, text_of
+from lexivec.llm.common import shuffle_partitions, slices, text_of
 from lexivec.llm.graph import connected_components
 from lexivec.session import materialise
 
@@ -204,7 +204,7 @@ def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
     edges = band_edges(num, den)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
             at = np.bincount(np.searchsorted(edges, [len(s) for s in sets], side="right") - 1, minlength=1)
             band = np.flatnonzero(at)
@@ -231,7 +231,7 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             n, k1, k2, sigs = [], [], [], []
             for tokens in shingle_sets(part.column("text"), own.k):
                 n.append(len(tokens))
@@ -377,7 +377,7 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame
         ids: list[int] = []
         texts: list[str] = []
         blocks: list[int] = []
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             table = [part.column(c).to_pylist() for c in (*keys, "doc_id", "text", "block")]
             a_all, b_all = [], []
             for c, i, j, doc_id, text, at in zip(*table):
