@@ -1,10 +1,409 @@
-"""The named queries over the retrieval operators and their DuckDB equivalents."""
+"""The named queries over the retrieval operators; ``lexivec.oracle`` has their DuckDB equivalents.
+
+The driver's tables stand in for a store: ``documents`` for chunks (doc_id as id, source as path),
+``embeddings`` for vectors (vec_id as id), ``benchmark`` for a batch of questions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexivec.functions import text as T
+from lexivec.functions import vectors as V
+from lexivec.operators import bm25, chunker, embed, filters, fuse, ingest, rerank, vector
+from lexivec.oracle import SQL
+from lexivec.plans import hybrid
+from lexivec.schema import ChunkOptions
+from lexivec.sources.registry import with_context
+
+QUESTION = "ening thand with, oneres"
+K = 10
+SCORE_PLACES = 6
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text", "lang")
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def first_vector(spark, sf_dir) -> list[float]:
+    row = vectors(spark, sf_dir).where("id = 0").first()
+    return list(row["embedding"]) if row else []
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, SCORE_PLACES) for n in names})
+
+
+# Analysis and statistics
+
+
+@query
+def analyze_tokens(spark, sf_dir):
+    words = T.tokens(F.col("text"))
+    own = chunks(spark, sf_dir).select("id", words.alias("w"))
+    return own.select("id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
+
+
+@query
+def term_df(spark, sf_dir):
+    return bm25.build_index(chunks(spark, sf_dir)).terms.select("term", "df", "total_tf")
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return rounded(bm25.build_index(chunks(spark, sf_dir)).corpus, "avgdl")
+
+
+@query
+def approx_tokens(spark, sf_dir):
+    return chunks(spark, sf_dir).select("id", T.approx_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+@query
+def preview_line(spark, sf_dir):
+    return chunks(spark, sf_dir).select("id", T.preview_line(F.col("text"), 80).alias("preview"))
+
+
+@query
+def content_hash(spark, sf_dir):
+    return chunks(spark, sf_dir).select("id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def chunk_id(spark, sf_dir):
+    own = chunks(spark, sf_dir)
+    uri = T.uri_of(F.lit("default"), F.concat(F.col("path"), F.lit("\\"), F.col("id").cast("string")))
+    made = T.chunk_id(uri, T.content_hash(F.col("text")), F.col("id"))
+    return own.select("id", uri.alias("uri"), made.alias("chunk_id"), T.short_id(made).alias("short_id"))
+
+
+@query
+def chunk_markdown(spark, sf_dir):
+    return chunker.chunk_table(chunks(spark, sf_dir), ["id"])
+
+
+@query
+def chunk_markdown_small(spark, sf_dir):
+    return chunker.chunk_table(chunks(spark, sf_dir), ["id"], options=ChunkOptions(60, 12, 8))
+
+
+# Lexical retrieval
+
+
+def lexical(spark, sf_dir, k=K, question=QUESTION):
+    return bm25.search_text(chunks(spark, sf_dir), question, k)
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    return rounded(lexical(spark, sf_dir), "score")
+
+
+@query
+def bm25_indexed_topk(spark, sf_dir):
+    return rounded(bm25.search_index(bm25.build_index(chunks(spark, sf_dir)), QUESTION, K), "score")
+
+
+@query
+def bm25_all(spark, sf_dir):
+    return rounded(lexical(spark, sf_dir, None), "score")
+
+
+@query
+def bm25_min_score(spark, sf_dir):
+    return rounded(filters.min_score(lexical(spark, sf_dir, None), 2.0), "score")
+
+
+@query
+def bm25_blank_query(spark, sf_dir):
+    return lexical(spark, sf_dir, question="  ")
+
+
+@query
+def bm25_files(spark, sf_dir):
+    own = chunks(spark, sf_dir)
+    hits = bm25.search_text(own, QUESTION, 50).join(own.select("id", "path"), "id")
+    return filters.files(hits).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def bm25_batch_topk(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = bm25.search_batch(bm25.build_index(chunks(spark, sf_dir)), asked, 3)
+    return rounded(found, "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def bm25_stemmed(spark, sf_dir):
+    return rounded(bm25.search_text(chunks(spark, sf_dir), QUESTION, K, stemmed=True), "score")
+
+
+# Vector retrieval
+
+
+@query
+def vector_topk(spark, sf_dir):
+    return rounded(vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), K), "score")
+
+
+@query
+def vector_min_score(spark, sf_dir):
+    return rounded(filters.min_score(vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), None), 0.2), "score")
+
+
+@query
+def vector_distance(spark, sf_dir):
+    hits = vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), K)
+    return rounded(vector.with_distance(hits), "score", "_distance")
+
+
+@query
+def vector_batch_topk(spark, sf_dir):
+    """Every row whose id is divisible by 100 asks, all rows answer."""
+    own = vectors(spark, sf_dir)
+    asked = own.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return rounded(vector.search_batch(own, asked, 5), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def vector_filtered_topk(spark, sf_dir):
+    return rounded(vector.search(vectors(spark, sf_dir).where("label = 1"), first_vector(spark, sf_dir), K), "score")
+
+
+@query
+def ivf_topk(spark, sf_dir):
+    own = vectors(spark, sf_dir)
+    return rounded(vector.search_ivf(vector.build_ivf(own), first_vector(spark, sf_dir), K, probes=8), "score")
+
+
+@query
+def embedding_slice(spark, sf_dir):
+    part = F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), SCORE_PLACES))
+    return vectors(spark, sf_dir).select(
+        "id",
+        F.size("embedding").cast("long").alias("dim"),
+        F.element_at(part, 1).alias("e1"),
+        F.element_at(part, 2).alias("e2"),
+        F.element_at(part, 3).alias("e3"),
+        F.round(V.l2_norm(F.col("embedding")), SCORE_PLACES).alias("norm"),
+        V.all_finite(F.col("embedding")).alias("finite"),
+    )
+
+
+# Fusion and reranking
+
+
+def legs(spark, sf_dir) -> dict[str, DataFrame]:
+    deep = hybrid.pre_fusion_k(K)
+    return {"lex": lexical(spark, sf_dir, deep), "vec": vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), deep)}
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    fused = fuse.total_bonus(fuse.fuse(legs(spark, sf_dir)))
+    return fused.select("id", F.round("final_score", 9).alias("final_score"), F.round("total_bonus", 9).alias("total_bonus"), F.size("contributions").cast("long").alias("sources"))
+
+
+@query
+def rrf_contributions(spark, sf_dir):
+    rows = fuse.contributions(legs(spark, sf_dir))
+    return rows.select("id", "source", F.col("rank").cast("long").alias("rank"), "weight", F.round("rrf_value", 9).alias("rrf_value"), "bonus")
+
+
+def fused_outcome(spark, sf_dir, scorer=None) -> hybrid.Outcome:
+    own = chunks(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
+    return hybrid.run_query(own, QUESTION, first_vector(spark, sf_dir), K, scorer=scorer)
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    fused = fuse.fuse(legs(spark, sf_dir)).select("id", F.col("final_score").alias("score"))
+    return filters.top_k(fused, K).select("id", F.round("score", 9).alias("score"))
+
+
+@query
+def hybrid_explain(spark, sf_dir):
+    rows = hybrid.explain(fused_outcome(spark, sf_dir))
+    return rows.select(
+        "id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "source",
+        F.col("source_rank").cast("long").alias("source_rank"), F.round("rrf_value", 9).alias("rrf_value"), "bonus",
+    )
+
+
+@query
+def hybrid_rerank_topk(spark, sf_dir):
+    return rounded(fused_outcome(spark, sf_dir, rerank.OverlapScorer()).hits.select("id", "path", "score"), "score")
+
+
+@query
+def hybrid_alpha_blend(spark, sf_dir):
+    own = legs(spark, sf_dir)
+    return rounded(filters.top_k(fuse.blend(own["lex"], own["vec"], 0.3), K), "score")
+
+
+@query
+def yes_no_softmax(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    yes, no = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") / 100
+    return rounded(part.select("p_partkey", T.yes_no_softmax(yes, no).alias("p_yes")), "p_yes")
+
+
+@query
+def rerank_order(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select(
+        F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("pos"), "c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).cast("double").alias("rerank_score")
+    )
+    order = Window.partitionBy("c_nationkey").orderBy(F.desc("rerank_score"), "pos")
+    ranked = own.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    return ranked.select("c_nationkey", "c_custkey", "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def rerank_passthrough(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("int").alias("pos"), F.col("item_id").cast("string").alias("id"), "text", F.lit("kept").alias("extra"), F.lit(99).alias("rank")
+    )
+    out = rerank.rerank(own, QUESTION, rerank.OverlapScorer(), 5)
+    return rounded(out, "rerank_score").select("id", "extra", "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def prompt_render(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark")
+    return own.select("item_id", F.sha2(T.render_prompt(F.lit(QUESTION), F.col("text")), 256).alias("prompt_sha256"))
+
+
+@query
+def candidate_validation(spark, sf_dir):
+    """Conversation turns as candidates: id empty for the assistant's, text missing where it is short."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("turn").isNotNull())
+    pos = F.col("conv_id") * 1000 + F.col("turn")
+    own = turns.select(
+        pos.alias("pos"), F.when(F.col("role") == "assistant", "").otherwise(F.col("role")).alias("id"), F.when(F.length("text") >= 20, F.col("text")).alias("text")
+    )
+    return rerank.first_violation(own)
+
+
+# Mutation and lifecycle. What is stored: documents in English and German; what is on disk: those in
+# English and French, edited where they come from one source.
+
+
+def stored(spark, sf_dir) -> DataFrame:
+    own = chunks(spark, sf_dir).where(F.col("lang").isin("en", "de"))
+    return own.select(F.concat_ws("/", "path", "id").alias("path"), T.content_hash(F.col("text")).alias("content_hash"), "id", "text", "lang")
+
+
+def on_disk(spark, sf_dir) -> DataFrame:
+    own = chunks(spark, sf_dir).where(F.col("lang").isin("en", "fr"))
+    text = F.when(F.col("path") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return own.select(F.concat_ws("/", "path", "id").alias("path"), T.content_hash(text).alias("content_hash"), "id", text.alias("text"), "lang")
+
+
+@query
+def incremental_diff(spark, sf_dir):
+    return ingest.diff(on_disk(spark, sf_dir), stored(spark, sf_dir))
+
+
+@query
+def incremental_diff_subroot(spark, sf_dir):
+    disk = on_disk(spark, sf_dir).where(T.under(F.col("path"), "src1"))
+    return ingest.diff(disk, stored(spark, sf_dir), "src1")
+
+
+@query
+def index_report(spark, sf_dir):
+    return ingest.report(ingest.diff(on_disk(spark, sf_dir), stored(spark, sf_dir)))
+
+
+@query
+def apply_diff(spark, sf_dir):
+    """The stored table after the run: changed and gone rows out, new ones in."""
+    disk, kept = on_disk(spark, sf_dir), stored(spark, sf_dir)
+    actions = ingest.diff(disk, kept)
+    left = kept.join(actions.where("action IN ('replace', 'remove')"), "path", "left_anti")
+    new = disk.join(actions.where("action IN ('replace', 'add')"), "path", "left_semi")
+    return left.select("path", "content_hash").unionByName(new.select("path", "content_hash"))
+
+
+@query
+def file_hashes(spark, sf_dir):
+    own = chunks(spark, sf_dir)
+    return own.select("path", F.substring(T.content_hash(F.col("text")), 1, 2).alias("content_hash")).distinct()
+
+
+@query
+def delete_by_path(spark, sf_dir):
+    return chunks(spark, sf_dir).where(F.col("path") != "src0").groupBy("path").agg(F.count("*").alias("rows"))
+
+
+@query
+def merge_embeddings(spark, sf_dir):
+    """Vectors merged on id: rows without one stay null, vectors without a row don't enter."""
+    own = chunks(spark, sf_dir).select("id")
+    rows = own.join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
+    return rows.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"))
+
+
+@query
+def unembedded_scan(spark, sf_dir):
+    own = chunks(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
+    return own.where(F.col("embedding").isNull()).select("id")
+
+
+@query
+def longest_unembedded(spark, sf_dir):
+    own = chunks(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
+    return embed.unembedded_longest(own, K).withColumn("chars", F.col("chars").cast("long"))
+
+
+@query
+def group_count(spark, sf_dir):
+    return chunks(spark, sf_dir).groupBy("lang", "path").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def context_longest_prefix(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("uri"))
+    hosts = pages.select(F.substring_index("uri", "/", 1).alias("prefix"), F.lit("host").alias("note")).distinct()
+    folders = pages.select(F.substring_index("uri", "/", 2).alias("prefix")).where(F.col("prefix").endswith("/en")).distinct()
+    notes = hosts.unionByName(folders.withColumn("note", F.lit("english")))
+    return with_context(pages, notes).select("page_id", "context")
+
+
+@query
+def get_by_path(spark, sf_dir):
+    own = chunker.chunk_table(chunks(spark, sf_dir), ["id", "path"], options=ChunkOptions(120, 20, 16))
+    return own.where(F.col("path") == "src7").groupBy("id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+@query
+def embed_vectors(spark, sf_dir):
+    own = chunks(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text")
+    found = embed.embed_table(own, lambda: embed.HashingEmbedder(64))
+    return found.select("id", F.size("embedding").cast("long").alias("dim"), F.round(V.l2_norm(F.col("embedding")), 4).alias("norm"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_topk(spark, sf_dir)
 
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "entry"]
