@@ -31,8 +31,10 @@ _LEGS = rf"""{_LEX}, {_VEC},
             FROM lists WHERE rank <= 20),
     fused AS (SELECT id, sum(rrf_value + bonus)::DOUBLE AS score, sum(bonus)::DOUBLE AS total_bonus, count(*) AS sources
               FROM cut GROUP BY id)"""
+#: The same over vectors that have a document, as chunks with their own vectors give.
+_OWN_LEGS = _LEGS.replace("WHERE embedding IS NOT NULL", "WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents)")
 _FUSED_ORDER = "ORDER BY round(score, 12) DESC, id"
-_OVERLAP = rf"""len(list_intersect(list_distinct({_TOKENS.replace("[\\p{L}\\p{N}]+", "[\\p{L}\\p{N}]+")}),
+_OVERLAP = rf"""len(list_intersect(list_distinct({_TOKENS}),
                     ['ening', 'thand', 'with', 'oneres'])) / 4.0"""
 _EMBEDDED = """c AS (SELECT d.doc_id AS id, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 _STORED = """
@@ -109,14 +111,12 @@ SQL = {
                             bonus::DOUBLE AS bonus FROM cut""",
     "hybrid_topk": f"WITH {_LEGS} SELECT id, round(score, 9) AS score FROM fused {_FUSED_ORDER} LIMIT 10",
     "hybrid_explain": f"""
-        WITH {_LEGS}, inside AS (SELECT id, score FROM fused WHERE id IN (SELECT doc_id FROM documents)),
-             best AS (SELECT id, score, row_number() OVER ({_ORDER}) AS rank FROM
-                      (SELECT * FROM inside {_FUSED_ORDER} LIMIT 10))
+        WITH {_OWN_LEGS}, best AS (SELECT id, score, row_number() OVER ({_ORDER}) AS rank FROM
+                                   (SELECT * FROM fused {_FUSED_ORDER} LIMIT 10))
         SELECT id, best.rank AS rank, round(score, 9) AS score, source, cut.rank AS source_rank,
                round(rrf_value::DOUBLE, 9) AS rrf_value, bonus::DOUBLE AS bonus FROM best JOIN cut USING (id)""",
     "hybrid_rerank_topk": rf"""
-        WITH {_LEGS}, pool AS (SELECT id, row_number() OVER ({_FUSED_ORDER}) AS pos FROM fused
-                               WHERE id IN (SELECT doc_id FROM documents)),
+        WITH {_OWN_LEGS}, pool AS (SELECT id, row_number() OVER ({_FUSED_ORDER}) AS pos FROM fused),
              scored AS (SELECT id, source AS path, {_OVERLAP} AS score FROM pool JOIN documents ON doc_id = id WHERE pos <= 64)
         SELECT id, path, round(score::DOUBLE, 6) AS score FROM scored {_ORDER} LIMIT 10""",
     "hybrid_alpha_blend": f"""
