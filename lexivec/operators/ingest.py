@@ -11,7 +11,7 @@ from lexivec.functions.text import chunk_id, under
 from lexivec.operators.chunker import chunk_table
 from lexivec.schema import CHUNKS, DEFAULT_COLLECTION, SCHEMA_VERSION, ChunkOptions
 from lexivec.session import materialise
-from lexivec.sources.mdtree import canonical, read_tree
+from lexivec.sources.mdtree import UNREADABLE, canonical, read_tree
 from lexivec.sources.store import ChunkStore
 
 
@@ -21,18 +21,21 @@ class IndexReport:
     chunks: int = 0
     skipped: int = 0
     removed: int = 0
+    failed: int = 0
 
 
 def diff(disk: DataFrame, existing: DataFrame, root: str | None = None) -> DataFrame:
-    """(path, action): add, replace, skip or remove. Both sides have path and content_hash.
+    """(path, action): add, replace, skip, remove or failed. Both sides have path and content_hash.
 
-    Only stored paths under the root can be removed.
+    Only stored paths under the root can be removed. A file that cannot be read fails and keeps what
+    is stored of it.
     """
     d = disk.select("path", F.col("content_hash").alias("disk_hash"))
     e = existing.select("path", F.col("content_hash").alias("kept_hash"))
     inside = F.lit(True) if root is None else under(F.col("path"), root)
     action = (
-        F.when(F.col("kept_hash").isNull(), "add")
+        F.when(F.col("disk_hash") == UNREADABLE, "failed")
+        .when(F.col("kept_hash").isNull(), "add")
         .when(F.col("disk_hash").isNull(), F.when(inside, "remove"))
         .when(F.col("disk_hash") == F.col("kept_hash"), "skip")
         .otherwise("replace")
@@ -41,9 +44,9 @@ def diff(disk: DataFrame, existing: DataFrame, root: str | None = None) -> DataF
 
 
 def report(actions: DataFrame) -> DataFrame:
-    """One row: files indexed, skipped, removed."""
+    """One row: files indexed, skipped, removed, failed."""
     of = lambda *names: F.count(F.when(F.col("action").isin(*names), 1))
-    return actions.agg(of("add", "replace").alias("files"), of("skip").alias("skipped"), of("remove").alias("removed"))
+    return actions.agg(of("add", "replace").alias("files"), of("skip").alias("skipped"), of("remove").alias("removed"), of("failed").alias("failed"))
 
 
 def chunk_rows(files: DataFrame, collection: str = DEFAULT_COLLECTION, options: ChunkOptions = ChunkOptions()) -> DataFrame:
@@ -69,13 +72,14 @@ def run_index(spark: SparkSession, store: ChunkStore, root: str, collection: str
     actions = materialise(diff(files, store.file_hashes(collection), root), "actions")
     counts = report(actions).first()
     if not counts["files"] and not counts["removed"]:
-        return IndexReport(skipped=counts["skipped"])
+        return IndexReport(skipped=counts["skipped"], failed=counts["failed"])
     fresh = files.join(actions.where(F.col("action").isin("add", "replace")).select("path"), "path", "left_semi")
     new = materialise(chunk_rows(fresh, collection, options), "chunks")
     gone = actions.where(F.col("action").isin("replace", "remove")).select("path", F.lit(collection).alias("collection"))
     kept = store.table().join(gone, ["collection", "path"], "left_anti")
-    empty = {r["path"]: r["content_hash"] for r in files.where(F.col("text") == "").select("path", "content_hash").collect()}
+    bare = files.where((F.col("text") == "") & (F.col("content_hash") != UNREADABLE))
+    empty = {r["path"]: r["content_hash"] for r in bare.select("path", "content_hash").collect()}
     held = dict(store.manifest().files)
     outside = {p: h for p, h in held.get(collection, {}).items() if not (p == root or p.startswith(root + "/"))}
     store.replace(kept.unionByName(new), "index", files=held | {collection: outside | empty})
-    return IndexReport(counts["files"], new.count(), counts["skipped"], counts["removed"])
+    return IndexReport(counts["files"], new.count(), counts["skipped"], counts["removed"], counts["failed"])

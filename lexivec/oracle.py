@@ -149,7 +149,8 @@ SQL = {
         WITH {_STORED} SELECT path, action FROM diff WHERE path LIKE 'src1/%'""",
     "index_report": f"""
         WITH {_STORED} SELECT count(*) FILTER (WHERE action IN ('add', 'replace')) AS files,
-               count(*) FILTER (WHERE action = 'skip') AS skipped, count(*) FILTER (WHERE action = 'remove') AS removed FROM diff""",
+               count(*) FILTER (WHERE action = 'skip') AS skipped, count(*) FILTER (WHERE action = 'remove') AS removed,
+               count(*) FILTER (WHERE action = 'failed') AS failed FROM diff""",
     "apply_diff": f"WITH {_STORED} SELECT path, content_hash FROM disk",
     "file_hashes": "SELECT DISTINCT source AS path, left(sha256(text), 2) AS content_hash FROM documents",
     "delete_by_path": "SELECT source AS path, count(*) AS rows FROM documents WHERE source <> 'src0' GROUP BY source",

@@ -20,6 +20,8 @@ from lexivec.schema import DEFAULT_COLLECTION, FILES, URI_SCHEME
 # Folders that hold no documents.
 SKIPPED = ("node_modules", "target")
 FILES_PER_TASK = 256
+#: In place of the hash of a file that is there but cannot be read.
+UNREADABLE = ""
 
 
 def canonical(root: str) -> str:
@@ -69,6 +71,7 @@ class TreeReader(DataSourceReader):
                     data = f.read()
                 stamp = os.stat(path).st_mtime_ns
             except OSError:
+                yield path, uri(path, self.root, self.collection), 0, UNREADABLE, ""
                 continue
             stamp = stamp if stamp >= 0 else time.time_ns()
             yield path, uri(path, self.root, self.collection), stamp, hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace")

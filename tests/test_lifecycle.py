@@ -8,7 +8,7 @@ import pytest
 
 from lexivec import cli
 from lexivec.operators.embed import HashingEmbedder, checked_query, run_embed
-from lexivec.operators.ingest import IndexReport, run_index
+from lexivec.operators.ingest import IndexReport, diff, run_index
 from lexivec.plans import hybrid
 from lexivec.schema import CHUNKS, EmbedderDimMismatch, EmbedderModelMismatch, LexivecError
 from lexivec.sources.mdtree import walk
@@ -101,6 +101,18 @@ def test_subroot_and_empty_file(spark, store, tmp_path):
     assert {r["path"].rsplit("/", 1)[-1] for r in store.table().collect()} == {"y.md"}
 
 
+def test_unreadable_file_keeps_its_rows(spark, store, tmp_path):
+    root = tmp_path / "docs"
+    put(root, a="alpha", b="beta")
+    run_index(spark, store, str(root))
+    (root / "a.md").unlink()
+    (root / "a.md").mkdir()
+    assert run_index(spark, store, str(root)).removed == 1
+    disk = spark.createDataFrame([("/x", ""), ("/y", "h2")], "path string, content_hash string")
+    kept = spark.createDataFrame([("/x", "h1"), ("/y", "h1")], "path string, content_hash string")
+    assert {r["path"]: r["action"] for r in diff(disk, kept).collect()} == {"/x": "failed", "/y": "replace"}
+
+
 def test_walk(tmp_path):
     put(tmp_path, _x="1", node_modules__n="2", target__t="3", deep__ok="4")
     (tmp_path / ".hidden").mkdir()
