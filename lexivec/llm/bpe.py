@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from lexivec.llm.common import text_of
+from lexivec.llm.common import slices, text_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters (bytes in the byte-level alphabet) of an unsplit run that is encoded in one piece.
 LEAF = 24
 #: Distinct pieces a worker remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Codec:
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> D
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary), leaf)
         digits, tokens = [b"%d" % i for i in range(len(own.token))], [t.encode() for t in own.token]
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             coded = own.batch(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -236,7 +236,7 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary))
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             ids = [x.astype(np.int32) for x in own.batch(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
