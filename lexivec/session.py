@@ -26,6 +26,10 @@ def build_session(cores: str | int | None = None, app: str = "lexivec") -> Spark
     )
 
 
+#: Folders that this process has written and that lazy results may still read.
+_written: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,5 +49,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lexivec-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``materialise`` wrote; call it once results are stored. Returns how many folders went."""
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone

@@ -11,6 +11,7 @@ from lexivec.operators.embed import HashingEmbedder, checked_query, run_embed
 from lexivec.operators.ingest import IndexReport, diff, run_index
 from lexivec.plans import hybrid
 from lexivec.schema import CHUNKS, EmbedderDimMismatch, EmbedderModelMismatch, LexivecError
+from lexivec.session import clear_scratch, materialise
 from lexivec.sources.mdtree import walk
 from lexivec.sources.registry import Registry, with_context
 from lexivec.sources.store import ChunkStore
@@ -158,6 +159,11 @@ def test_watch_once(spark, store, tmp_path):
     assert [r.files for r in reports] == [1, 1] and found(store, "beta") == {"b.md"}
 
 
+def test_scratch_is_cleared(spark):
+    made = materialise(spark.range(3), "test")
+    assert made.count() == 3 and clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+
+
 def test_registry(spark, tmp_path):
     path = str(tmp_path / "sub" / "r.toml")
     held = Registry.load(path)
