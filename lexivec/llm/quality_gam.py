@@ -215,7 +215,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS)
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", *NAMES])
 
     schema = "doc_id long, y int, " + ", ".join(f"{n} double" for n in NAMES)
-    table = joined.mapInArrow(batches, schema).toArrow().sort_by("doc_id")
+    # Rows that share a doc_id count once, so no more rows come back than labels went out.
+    one = joined.mapInArrow(batches, schema).groupBy("doc_id").agg(F.max(F.struct("y", *NAMES)).alias("f"))
+    table = one.select("doc_id", "f.*").toArrow().sort_by("doc_id")
     x = np.column_stack([table.column(n).to_numpy() for n in NAMES]) if len(table) else np.empty((0, len(NAMES)))
     return x, table.column("y").to_numpy().astype(np.float64)
 
