@@ -290,7 +290,16 @@ def candidate_edges(found: DataFrame) -> DataFrame:
     ends = stars.where("NOT edge").select(F.col("a").alias("signature"), "b")
     met = ends.groupBy("signature").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
     cut = ends.join(met, "signature").where("a <> b").select("a", "b")
-    return stars.where("edge").select("a", "b").unionByName(cut).distinct()
+    return hung(stars.where("edge").select("a", "b").unionByName(cut))
+
+
+def hung(edges: DataFrame) -> DataFrame:
+    """The same components with fewer edges: a set and its centres all hang on the least centre.
+
+    A set has at most as many centres as signatures, so what is collected for it is bounded by its size.
+    """
+    near = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
+    return near.select("a", F.explode(F.array_append("all", F.col("b"))).alias("b")).where("a <> b").distinct()
 
 
 class Forest:
