@@ -41,7 +41,7 @@ from lexivec.session import materialise
 #: tokens can be, so their list has a bound that doesn't grow with the corpus.
 FREQUENT = 0.002
 #: Tokens of a cluster that one task joins; larger clusters are cut into blocks.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 3_000_000
 #: Rows of ids that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURES_PER_TASK = 2_000_000
@@ -314,37 +314,52 @@ class Forest:
             self.root[np.isin(self.root, roots)] = roots[0]
 
 
+def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of parity bits per set: tokens flip the bit they hash to.
+
+    A token that only one of two sets has flips one bit of their difference, so the number of bits
+    that differ is never more than the number of tokens that do.
+    """
+    rows = [np.packbits((np.bincount((mix(s) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)) for s in sets]
+    return np.stack(rows).view(np.uint64)
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
     """Component numbers of sets under the exact threshold; with two sides, only pairs across count.
 
-    Sets are ordered by size; each in turn is compared with the run of sizes it may link with, all at
-    once by counting marked tokens, unless they all are in its component already.
+    Sets are ordered by size; each in turn meets the run of sizes it may link with. Those in its
+    component already are passed over, those whose sketches differ in more bits than linked sets may
+    differ in tokens cannot link, and of the rest the shared tokens are counted.
     """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size, side = size[order], side[order]
-    _, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ordered = [sets[i] for i in order]
+    _, local = np.unique(np.concatenate(ordered), return_inverse=True)
     bound = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(local.max() + 1, bool)
+    mark = np.zeros(local.max() + 1, np.int32)
     forest = Forest(len(sets))
     cross = len(np.unique(side)) > 1
+    usual = 2 * int(np.quantile(size, 0.75)) * (den - num) // (den + num)
+    sketch = sketches(ordered, 1 << int(np.clip(np.ceil(np.log2(4 * usual + 1)), 8, 14)))
     for i in range(len(sets)):
         stop = int(np.searchsorted(size, size[i] * den // num, side="right"))
         there = np.arange(i + 1, stop)
         there = there[forest.root[there] != forest.root[i]]
         if cross:
             there = there[side[there] != side[i]]
+        if not len(there):
+            continue
+        apart = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        there = there[apart <= (size[i] + size[there]) * (den - num) // (den + num)]
         if not len(there):
             continue
         mine = local[bound[i] : bound[i + 1]]
-        mark[mine] = True
-        if 2 * len(there) > stop - i - 1:
-            shared = np.add.reduceat(mark[local[bound[there[0]] : bound[stop]]].astype(np.int32), bound[there[0] : stop] - bound[there[0]])
-            shared = shared[there - there[0]]
-        else:
-            shared = np.array([np.count_nonzero(mark[local[bound[j] : bound[j + 1]]]) for j in there])
-        mark[mine] = False
-        hit = there[den * shared >= num * (size[i] + size[there] - shared)]
+        mark[mine] = 1
+        theirs = np.concatenate([local[bound[j] : bound[j + 1]] for j in there])
+        shared = np.add.reduceat(mark[theirs], np.cumsum(size[there]) - size[there])
+        mark[mine] = 0
+        hit = there[den * shared.astype(np.int64) >= num * (size[i] + size[there] - shared)]
         if len(hit):
             forest.union(i, hit)
     out = np.empty(len(sets), np.int64)
