@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from lexivec.llm.common import slices, text_of
+from lexivec.llm.common import slices, text_of, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters (bytes in the byte-level alphabet) of an unsplit run that is encoded in one piece.
 LEAF = 24
-#: Distinct pieces a worker remembers; beyond it, it starts anew.
-REMEMBERED = 200_000
+#: Distinct pieces in each of a worker's two memories, about 200 bytes each; a full one becomes the older.
+REMEMBERED = 100_000
 
 
 class Codec:
@@ -57,7 +57,9 @@ class Codec:
         for text, i in [*model["vocab"].items(), *self.special.items()]:
             self.token[i] = text
         self.leaf = leaf
+        #: Ids of pieces met lately, and of those met before; what is met again moves up.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def text_of_token(self, i: int, last: bool) -> str:
         text = self.token[i]
@@ -106,11 +108,21 @@ class Codec:
                     ids += self.run(run)
         return ids
 
+    def forget(self) -> None:
+        """Give up both memories, as a worker does at the end of a partition."""
+        self.memory, self.older = {}, {}
+
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces as little-endian 32-bit words."""
-        if len(self.memory) > REMEMBERED:
-            self.memory = {}
-        new = [p for p in pieces if p not in self.memory]
+        found = list(map(self.memory.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            old = self.older.get(pieces[i])
+            if old is None:
+                new.append(pieces[i])
+            else:
+                self.memory[pieces[i]] = old
         short = [p for p in new if len(p) <= self.leaf]
         plain = [p for p in short if PLAIN(p)]
         mixed = [p for p in short if not PLAIN(p)]
@@ -121,7 +133,11 @@ class Codec:
         for p in new:
             if len(p) > self.leaf:
                 self.memory[p] = np.array(self.long_piece(p), "<u4").tobytes()
-        return [self.memory[p] for p in pieces]
+        for i in missing:
+            found[i] = self.memory[pieces[i]]
+        if len(self.memory) > REMEMBERED:
+            self.older, self.memory = self.memory, {}
+        return found
 
     def batch(self, texts: pa.Array) -> EncodedBatch:
         if texts.offset:  # string kernels misread a slice that starts inside its buffer
@@ -212,6 +228,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every document."""
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary), leaf)
         digits, tokens = [b"%d" % i for i in range(len(own.token))], [t.encode() for t in own.token]
@@ -226,6 +243,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> D
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(batches, RESULT)

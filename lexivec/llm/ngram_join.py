@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import shuffle_partitions, slices, text_of
+from lexivec.llm.common import shuffle_partitions, slices, text_of, tidy
 from lexivec.llm.graph import connected_components
 from lexivec.session import materialise
 
@@ -203,6 +203,7 @@ def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
     """
     edges = band_edges(num, den)
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
             sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
@@ -229,6 +230,7 @@ def signed(docs: DataFrame, join: Join) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, signatures) of every document; k1 and k2 identify the set."""
     sent = docs.sparkSession.sparkContext.broadcast(join)
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for part in (x for whole in parts for x in slices(whole)):
@@ -396,6 +398,7 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame
         np.minimum.at(least, root, own)
         return least[root], own
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         ids: list[int] = []

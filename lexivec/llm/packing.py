@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm.bpe import VOCABULARY, codec, vocabulary_path
-from lexivec.llm.common import shuffle_partitions, slices, text_of
+from lexivec.llm.common import shuffle_partitions, slices, text_of, tidy
 from lexivec.session import materialise
 
 CAPACITY = 4096
@@ -44,6 +44,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """The pieces of every document, without their ids."""
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary))
         for part in (x for whole in parts for x in slices(whole)):
@@ -61,6 +62,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
                 [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        own.forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return own.mapInArrow(batches, PIECES)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import text_of
+from lexivec.llm.common import slices, text_of, tidy
 
 #: Labelled rows the model is fitted on, at most in expectation; they are chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -208,8 +208,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     joined = own.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             x = matrix(part.column("text"))
             columns = [part.column("doc_id"), part.column("y"), *(pa.array(x[:, j]) for j in range(len(NAMES)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", *NAMES])
@@ -229,8 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             s = model.score(matrix(part.column("text")))
             columns = [part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= KEEP_AT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
@@ -249,8 +251,9 @@ def keep_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, in their own columns."""
     model, schema = train(docs, labels), docs.schema
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             yield part.filter(pa.array(model.score(matrix(part.column("text"))) >= KEEP_AT))
 
     return docs.mapInArrow(batches, schema)
