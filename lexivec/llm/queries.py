@@ -49,6 +49,10 @@ def op8_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_url_reputation_shown(spark, sf_dir):
+    return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), shown=True)
+
+
 def op9_winnowing(spark, sf_dir):
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
         op6_packing,
         op7_exact_dedup,
         op8_url_reputation,
+        op8_url_reputation_shown,
         op9_winnowing,
         op10_line_dedup,
     )

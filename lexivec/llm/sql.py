@@ -68,3 +68,9 @@ SQL = {
                round(low, 6) AS bad_rate_low
         FROM u LEFT JOIN b USING (page_id) LEFT JOIN lo USING (host)""",
 }
+
+#: Labels joined by the document number in the path instead of page_id.
+SQL["op8_url_reputation_shown"] = SQL["op8_url_reputation"].replace(
+    "LEFT JOIN l USING (page_id) GROUP BY ALL",
+    r"LEFT JOIN l ON l.page_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.[A-Za-z]+)?/?\z', 1) AS BIGINT) GROUP BY ALL",
+)

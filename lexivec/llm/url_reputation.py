@@ -5,6 +5,9 @@ levels: the suffix is shrunk to the global rate, the registered domain to its su
 its domain. The strength of each prior is estimated by moments from the spread between the groups of
 that level. A host is blocked when the lower posterior bound of its bad rate passes ``BLOCK_RATE``.
 
+``url_filter`` joins labels by page_id, as its SQL does; with ``shown`` a page's outcome is the label of
+the document whose number ends the path of its url, and a page without such a number has none.
+
 Defined cases: a null url, or one without ``://``, has empty host and path and the verdict of the
 empty host; a null or repeated label counts once per page (bad if any is bad); without labels every
 page without a rule is allowed; an empty table gives no rows; other columns are ignored.
@@ -51,6 +54,12 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def shown_document(path: Column) -> Column:
+    """Number of the document that a page shows: the last segment of the path, if it is a number."""
+    digits = F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?\z", 1)
+    return F.when(digits != "", digits.cast("long"))
+
+
 def outcomes(labels: DataFrame) -> DataFrame:
     """(page_id, bad): one outcome per labelled page; low quality or toxic is bad."""
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
@@ -109,12 +118,13 @@ def host_table(pages: DataFrame, outcome: DataFrame) -> DataFrame:
     return leaves.select("host", "rate", (F.col("rate") - Z * spread).alias("low"))
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, shown: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_rate_low: one row per page."""
     own = pages.select("page_id", "url")
     host, path = split_url(F.col("url"))
     parts = own.select("page_id", host.alias("host"), path.alias("path"))
-    hosts = host_table(parts, outcomes(labels))
+    judged = parts.withColumn("page_id", shown_document(F.col("path"))) if shown else parts
+    hosts = host_table(judged, outcomes(labels))
     rule, verdict = rule_columns(rules)
     own_verdict = F.when(F.col("low") >= BLOCK_RATE, "block").otherwise("allow")
     return (

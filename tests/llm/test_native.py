@@ -102,6 +102,17 @@ def test_reputation_shrinks(spark):
     assert url_reputation.url_filter(pages(spark, (1, "x")).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_outcome_of_the_shown_document(spark):
+    ends = ["", "/", ".html", "?page=2", "#top"]
+    rows = [(i, f"http://bad.net/en/{500 + i}{ends[i % 5]}") for i in range(40)]
+    rows += [(500 + i, f"http://good.net/en/{i}{ends[i % 5]}") for i in range(40)]
+    rows += [(600, "http://bad.net/about"), (601, "http://none.net/en/x500"), (602, None)]
+    labels = spark.createDataFrame([(500 + i, 0, 0) for i in range(40)] + [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_reputation.url_filter(pages(spark, *rows), labels, shown=True).collect()}
+    assert all(got[i]["verdict"] == "block" and got[500 + i]["verdict"] == "allow" for i in range(40))
+    assert got[600]["verdict"] == "block" and got[601]["verdict"] == got[602]["verdict"] == "allow" and len(got) == len(rows)
+
+
 def picked(text, k=winnow.K, w=winnow.WINDOW):
     """Positions that winnowing by definition chooses, given the hashes that Spark computes."""
     n = max(len(text) - w + 1, 1) if text else 0
