@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
 Three base patterns (assignments, access ids, hex runs) are reported as they match. Beyond them a
-candidate is reported only if its structure holds: a base64 or hex run must decode to a key encoding
-whose nested lengths add up (DER, OpenSSH), a PEM body likewise, a signed token needs a JSON header
-with an algorithm. Offsets are code points of the whole text.
+candidate is reported only if its structure holds: a base64, base64url or hex run must decode to a key
+encoding whose nested lengths add up (DER, OpenSSH), a PEM body likewise, with escaped line ends and
+headers read (of an encrypted one the headers are the structure), a signed token needs a JSON header with
+an algorithm. Offsets are code points of the whole text.
 
 Defined cases: null text counts as empty and gives the hash of an empty list; an empty table gives
 no rows; repeated rows are scanned alike; other columns are ignored (by the stage: passed through).
@@ -32,9 +33,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "key", "jwt")
 
-PEM = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-BASE64_START = re.compile(r"MI[A-P]|b3BlbnNzaC1rZXkt|AAAA")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*+)-----END \1-----")
+#: Escapes of JSON and the like within a PEM body: ends of lines, and the slash.
+ESCAPED_END = re.compile(r"\\+(?:[nrt]|u000[aAdD9])")
+ESCAPED_SLASH = re.compile(r"\\+/")
+PEM_HEADER = re.compile(r"\b(Proc-Type|DEK-Info):\s*([A-Za-z0-9-]+,[A-Za-z0-9]+)|^[ \t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
+#: Runs of either alphabet; one may follow an escaped end of line, whose letter isn't its own.
+_START = r"(?:(?<=\\[nrt])|(?<![{0}])(?!(?<=\\)[nrt]))[{0}]{{40,}}={{0,2}}"
+BASE64 = re.compile(_START.format("A-Za-z0-9+/"))
+BASE64_URL = re.compile(_START.format("A-Za-z0-9_-"))
+#: How every DER sequence, OpenSSH private key and public blob begins: 30, the magic, three zero bytes.
+BASE64_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXkt|AAAA")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:8[12])?[0-9A-Fa-f]{38,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})")
 
@@ -90,22 +99,23 @@ def is_openssh_key(data: bytes) -> bool:
     """OpenSSH private keys, and public blobs: length-prefixed strings that fill the data."""
     magic = b"openssh-key-v1\x00"
     if data.startswith(magic):
-        return _prefixed(data[len(magic) :], 3) is not None
-    fields = _prefixed(data, 2)
-    return bool(fields) and re.match(rb"ssh-|ecdsa-|sk-", fields[0]) is not None
+        # cipher, its key derivation and the options of that; what follows is for the cipher to say
+        fields, _ = _prefixed(data[len(magic) :], 3)
+        return len(fields) == 3 and re.fullmatch(rb"[\x21-\x7e]+", fields[0]) is not None
+    fields, at = _prefixed(data)
+    return len(fields) >= 2 and at == len(data) and re.match(rb"ssh-|ecdsa-|sk-", fields[0]) is not None
 
 
-def _prefixed(data: bytes, least: int) -> list[bytes] | None:
+def _prefixed(data: bytes, most: int | None = None) -> tuple[list[bytes], int]:
+    """The length-prefixed strings at the start of the data, and where they end."""
     fields, at = [], 0
-    while at + 4 <= len(data) and (len(fields) < least or not fields[0].startswith(b"none")):
+    while at + 4 <= len(data) and (most is None or len(fields) < most):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return None
+            break
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-        if len(fields) >= least and fields[0] in (b"none", b"aes256-ctr"):
-            return fields
-    return fields if len(fields) >= least and at == len(data) else None
+    return fields, at
 
 
 def decoded(text: str, url_safe: bool = False) -> bytes | None:
@@ -122,6 +132,16 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_openssh_key(data))
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether a PEM body, its headers aside, is a key, or ciphertext by what its headers say."""
+    body = ESCAPED_SLASH.sub("/", ESCAPED_END.sub("\n", body))
+    headers = dict(PEM_HEADER.findall(body))
+    data = decoded(PEM_HEADER.sub("", body), url_safe=True)
+    if "ENCRYPTED" in headers.get("Proc-Type", "") and "DEK-Info" in headers:
+        return data is not None and len(data) >= 16
+    return is_key(data)
+
+
 def is_token_header(part: str) -> bool:
     try:
         header = json.loads(decoded(part, url_safe=True) or b"")
@@ -146,15 +166,15 @@ def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose structure holds."""
     found: list[Span] = []
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_key(decoded(m[2]))]
+        found += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_pem_key(m[2])]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token_header(m[1])]
     if BASE64_START.search(text):
-        taken = [(a, b) for a, b, _ in found]
-        for m in BASE64.finditer(text):
-            inside = any(a <= m.start() < b for a, b in taken)
-            if not inside and BASE64_START.match(m[0]) and is_key(decoded(m[0])):
-                found.append((m.start(), m.end(), "key"))
+        for pattern, url_safe in ((BASE64, False), (BASE64_URL, True)):
+            taken = [(a, b) for a, b, _ in found]
+            for m in pattern.finditer(text):
+                if BASE64_START.match(m[0]) and not any(a <= m.start() < b for a, b in taken) and is_key(decoded(m[0], url_safe)):
+                    found.append((m.start(), m.end(), "key"))
     for m in HEX_KEY.finditer(text) if "30" in text else ():
         if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), "key"))

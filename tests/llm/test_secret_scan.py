@@ -63,6 +63,48 @@ def test_confirmed():
     assert [x[2] for x in s.confirmed_spans(b64(ssh))] == ["key"]
 
 
+ED25519 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(200, 232))
+SEC1 = seq(b"\x02\x01\x01", b"\x04\x20" + bytes(range(32)), bytes.fromhex("a00a06082a8648ce3d030107"), b"\xa1\x44\x03\x42\x00\x04" + bytes(range(64)))
+
+
+def lines(text, end="\n"):
+    return end.join(text[i : i + 64] for i in range(0, len(text), 64))
+
+
+def openssh(cipher, kdf=b"bcrypt"):
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    public = string(string(b"ssh-ed25519") + string(b"\x07" * 32))
+    return b"openssh-key-v1\x00" + string(cipher) + string(kdf) + string(string(b"s" * 16) + b"\0\0\0\x10") + b"\0\0\0\1" + public + string(b"\xee" * 144) + b"t" * 16
+
+
+def pem(data, kind="PRIVATE KEY", end="\n", head=""):
+    return f"-----BEGIN {kind}-----{end}{head}{lines(b64(data), end)}{end}-----END {kind}-----"
+
+
+LEGACY = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [b64(ED25519), b64(SEC1), b64(ED25519, True), b64(SEC1, True), b64(KEY, True), b64(openssh(b"aes256-ctr"), True),
+     *(b64(openssh(c)) for c in (b"none", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com", b"3des-cbc")),
+     pem(ED25519), pem(SEC1, "EC PRIVATE KEY"), pem(openssh(b"aes256-gcm@openssh.com"), "OPENSSH PRIVATE KEY"),
+     pem(ED25519, end="\\n"), pem(KEY, end="\\r\\n"), pem(KEY, end="\\\\n"), pem(SEC1, end="\\n").replace("/", "\\/"),
+     pem(b"\xd7" * 64, "RSA PRIVATE KEY", head=LEGACY), pem(b"\xd7" * 64, "RSA PRIVATE KEY", "\\n", LEGACY.replace("\n", "\\n")),
+     pem(KEY, "RSA PRIVATE KEY", head="Comment: mine\n\n")],
+)
+def test_every_encoding_of_a_key(text):
+    for before, after in (("é see ", " end"), ('{"private_key": "', '\\n"}'), ("\\n", "\\n"), ("id=", "")):
+        spans = s.confirmed_spans(before + text + after)
+        assert spans == [(len(before), len(before) + len(text), "key")], (before, spans)
+
+
+def test_no_key_by_its_beginning():
+    for data in (ED25519[:-1], SEC1 + b"\0", b"openssh-key-v1\x00" + b"\xff" * 60):
+        assert s.confirmed_spans(b64(data)) == s.confirmed_spans(b64(data, True)) == s.confirmed_spans(pem(data)) == []
+    assert s.confirmed_spans(pem(b"\xd7" * 64, head="Proc-Type: 4,ENCRYPTED\n\n")) == []
+
+
 def test_unconfirmed():
     broken = KEY[:-1] + b"\x02\x05"
     bad_head = TOKEN.replace(TOKEN.split(".")[0], b64(b'{"typ":"JWT","x":"yyyyy"}', True))
