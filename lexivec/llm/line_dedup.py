@@ -4,7 +4,8 @@ A line is the text between newlines, compared after white space is turned into s
 trimmed. Per line hash a HyperLogLog sketch of the sites (``source``) is merged by aggregation;
 lines whose estimate is near the threshold get an exact distinct count. A line on ``min_sites`` or
 more sites is cross-site boilerplate: it stays in the document with the smallest doc_id that has
-it and leaves all others. Lines under ``min_words`` words are never judged.
+it and leaves all others. Empty lines are never judged, nor lines under ``min_words`` words: the stage of
+the pipeline sets no such floor, ``report`` has the one of its SQL unless told otherwise.
 
 Defined cases: null text counts as empty and stays null in the cleaned text; a null site is no site;
 an empty table gives no rows; rows with equal doc_id and text are cleaned alike; a line seen only
@@ -39,7 +40,7 @@ def line_keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"),
     )
     norm = exploded.withColumn("line", F.trim(F.regexp_replace("line", ASCII_SPACE, " ")))
-    return norm.where(F.size(F.split("line", " ")) >= min_words).select(
+    return norm.where((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words)).select(
         "row", "doc_id", "pos", "source", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")
     )
 
@@ -96,18 +97,18 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     ).drop(ROW, "__lx_at")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the cleaned text of every document."""
     own = docs.select("doc_id", "text", "source")
-    return line_dedup(own).select(
+    return line_dedup(own, min_words=min_words).select(
         "doc_id", F.col(LINES).alias("n_lines"), F.col(GONE).alias("n_removed"), text_of().alias("text")
     )
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """The documents with cleaned text and matching n_chars, in their own columns."""
+    """The documents with cleaned text and matching n_chars, in their own columns; lines of any length go."""
     names = docs.columns
-    out = line_dedup(docs).drop(LINES, GONE)
+    out = line_dedup(docs, min_words=1).drop(LINES, GONE)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*names)

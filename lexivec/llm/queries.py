@@ -61,6 +61,10 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_all(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,5 +79,6 @@ QUERIES = {
         op8_url_reputation_shown,
         op9_winnowing,
         op10_line_dedup,
+        op10_line_dedup_all,
     )
 }

@@ -74,3 +74,6 @@ SQL["op8_url_reputation_shown"] = SQL["op8_url_reputation"].replace(
     "LEFT JOIN l USING (page_id) GROUP BY ALL",
     r"LEFT JOIN l ON l.page_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.[A-Za-z]+)?/?\z', 1) AS BIGINT) GROUP BY ALL",
 )
+
+#: Every line that isn't empty is judged.
+SQL["op10_line_dedup_all"] = SQL["op10_line_dedup"].replace("len(string_split(key, ' ')) >= 5", "key <> ''")

@@ -187,3 +187,12 @@ def test_threshold_is_exact(docs, sites, gone):
     rows = [(i, LINE, f"s{i % sites}") for i in range(40)]
     got = line_dedup.report(docs(*rows)).where("doc_id > 0")
     assert {r["text"] == "" for r in got.collect()} == {gone}
+
+
+def test_short_lines_are_judged_by_their_sites(docs):
+    few = "only here"
+    rows = [(i, f"own {i}\n\n All  rights reserved.\nYes.\n{few if i < 9 else i}\n", f"s{i}") for i in range(12)]
+    want = {i: f"own {i}\n\n{few if i < 9 else i}\n" for i in range(1, 12)} | {0: rows[0][1]}
+    for out in (line_dedup.dedup_stage(docs(*rows)), line_dedup.report(docs(*rows), min_words=1)):
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert all(r["n_removed"] == 0 for r in line_dedup.report(docs(*rows)).collect())
