@@ -2,8 +2,9 @@
 
 Every page is parsed into a tree. Block subtrees are hashed; Spark counts on how many pages of a host
 each hash stands; a subtree on many pages of its host is template and is deleted, as are elements that
-are never article by their tag, role or class. Paragraph-level blocks inside an article or main element
-are the article's own and are not judged by recurrence, so that copied articles stay whole. What is left
+are never article by their tag, role or class. Text blocks inside an article or main element are template
+only where most distinct articles of the host have them, so that copied articles stay whole and sentences
+that some articles share stay in them; a table cell goes with its row or not at all. What is left
 of the article or main elements (of the body where there are none) is the main text, block by block.
 
 Defined cases: null html counts as empty and gives an empty text; markup cut off at the end of a page
@@ -28,6 +29,12 @@ from lexivec.session import materialise
 #: A subtree is template on at least so many pages and this share of the pages of its host.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: Or, unless it is a text block, beside so many distinct main texts, however large the host.
+MIN_ARTICLES = 30
+#: A text block inside the article is template in this share of the distinct main texts of its host.
+TEXT_SHARE = 0.5
+#: Told apart from the same block outside an article by this in its hash.
+WITHIN = 0x5555555555555555
 #: Template hashes that are broadcast at most (16 bytes each); more are joined by host.
 BROADCAST_ROWS = 500_000
 
@@ -38,7 +45,7 @@ BLOCKS = frozenset(
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table"
     " tbody tfoot thead tr ul".split()
 )
-#: Blocks that hold running text; inside the article they are never template.
+#: Blocks that hold running text.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr figcaption caption br hr".split())
 CLOSES_P = BLOCKS - frozenset("body html option optgroup".split())
 NOT_ARTICLE = frozenset(
@@ -167,29 +174,43 @@ def not_article(node: Node, inside: bool) -> bool:
     return bool(node.names) and node.tag not in ("html", "body", "main") and WORDS.search(node.names) is not None
 
 
-def judged(root: Node) -> set[int]:
-    """Hashes of the subtrees of a page that recurrence may delete."""
-    found: set[int] = set()
+#: Kinds of rows that are counted: other blocks, text blocks outside and inside an article, whole pages.
+OTHER, TEXT, INSIDE, PAGE = range(4)
+
+
+def block_kind(node: Node, inside: bool) -> int | None:
+    """How recurrence judges an element; None: not at all."""
+    if node.tag not in BLOCKS or node.tag in ("html", "body") or is_root(node) or (inside and node.tag == "hr"):
+        return None
+    return OTHER if node.tag not in TEXT_BLOCKS else INSIDE if inside else TEXT
+
+
+def block_key(node: Node, kind: int) -> int:
+    return digest(node) ^ WITHIN if kind == INSIDE else digest(node)
+
+
+def judged(root: Node) -> dict[int, int]:
+    """Hashes of the subtrees of a page that recurrence may delete, and their kinds."""
+    found: dict[int, int] = {}
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         for c in node.children:
             if isinstance(c, str):
                 continue
-            within = inside or is_root(c)
-            if c.tag in BLOCKS and c.tag not in ("html", "body") and not is_root(c) and not (inside and c.tag in TEXT_BLOCKS):
-                found.add(digest(c))
-            if c.tag not in RAW and not (inside and c.tag in TEXT_BLOCKS):
-                stack.append((c, within))
+            kind = block_kind(c, inside)
+            if kind is not None:
+                found[block_key(c, kind)] = kind
+            if c.tag not in RAW:
+                stack.append((c, inside or is_root(c)))
     return found
 
 
 def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
     """The blocks of the article that are left, one per line."""
     def gone(node: Node, inside: bool) -> bool:
-        own = node.tag in BLOCKS and node.tag not in ("html", "body") and not is_root(node)
-        own = own and not (inside and node.tag in TEXT_BLOCKS)
-        return (own and bool(template) and digest(node) in template) or not_article(node, inside)
+        kind = block_kind(node, inside) if template else None
+        return (kind is not None and block_key(node, kind) in template) or not_article(node, inside)
 
     roots: list[Node] = []
     stack = [root]
@@ -223,26 +244,39 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
             elif item.tag in ("br", "td", "th", "img", "wbr"):
                 line.append("" if item.tag == "wbr" else " ")
             work += reversed(item.children)
+        elif inside and item.tag in BLOCKS and item.tag in TEXT_BLOCKS:
+            flush()
     flush()
     return "\n".join(blocks)
 
 
+COUNTED = "host long, subtree long, kind int, article long"
+
+
 def _hash_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        hosts, hashes = [], []
+        rows: list[tuple[int, int, int, int]] = []
         for host, page in zip(part.column("host").to_pylist(), part.column("html")):
-            own = judged(parse(page.as_py()))
-            hosts += [host] * len(own)
-            hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+            root = parse(page.as_py())
+            article = xxhash.xxh64_intdigest(main_text(root, frozenset())) - 2**63
+            rows += [(host, key, kind, article) for key, kind in judged(root).items()]
+            rows.append((host, 0, PAGE, article))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["host", "subtree", "kind", "article"])
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree): what recurs on many pages of a host. ``pages`` has host (a hash) and html."""
-    counts = pages.mapInArrow(_hash_batches, "host long, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.where(F.col("n") >= min_pages).join(sizes, "host")
-    return often.where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
+    by_article = pages.mapInArrow(_hash_batches, COUNTED).groupBy("host", "subtree", "kind", "article").agg(F.count("*").alias("n"))
+    counts = by_article.groupBy("host", "subtree", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("articles"))
+    counts = materialise(counts.where((F.col("n") >= min_pages) | (F.col("kind") == PAGE)), "subtree-counts")
+    sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"), F.col("articles").alias("texts"))
+    often = counts.where(F.col("kind") != PAGE).join(sizes, "host")
+    inside = (F.col("articles") >= min_pages) & (F.col("articles") >= F.col("texts") * TEXT_SHARE)
+    shared = F.col("n") >= F.col("pages") * min_share
+    spread = (F.col("kind") == OTHER) & (F.col("articles") >= MIN_ARTICLES)
+    return often.where(F.when(F.col("kind") == INSIDE, inside).otherwise(shared | spread)).select("host", "subtree")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -65,3 +65,19 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(h, "BROADCAST_ROWS", -1)
     rows = [(i, "http://a.com/1", f"<div>menu of all</div><div>own {i}</div>") for i in range(10)]
     assert {r["text"] for r in h.extract(pages(spark, *rows)).collect()} == {f"own {i}" for i in range(10)}
+
+
+def test_a_large_host_has_no_higher_bar(spark):
+    side = "<div><span>Office closed on Monday</span></div>"
+    rows = [(i, f"http://a.com/{i}", f"<article>{side if i < 40 else ''}<p>own {i}</p></article>") for i in range(300)]
+    rows += [(300 + i, "http://a.com/c", "<article><div>copied story</div><p>as it was</p></article>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages(spark, *rows)).collect()}
+    assert all(got[i] == f"own {i}" for i in range(300))
+    assert {got[300 + i] for i in range(40)} == {"copied story\nas it was"}
+
+
+def test_text_of_every_article_goes(spark):
+    extra = "<p>Subscribe now</p><table><tr><td><div>Call us</div>cell {0}</td></tr></table>"
+    rows = [(i, f"http://a.com/{i}", f"<article><p>own {i}</p>{extra.format(i)}{'<p>shared line</p>' if i < 6 else ''}</article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages(spark, *rows)).collect()}
+    assert all(got[i] == f"own {i}\ncell {i}" + "\nshared line" * (i < 6) for i in range(20))
