@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexivec.schema import LexivecError
+
 
 def build_session(cores: str | int | None = None, app: str = "lexivec") -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -31,11 +33,14 @@ _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of this machine only where it is the whole cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise LexivecError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         root = "file://" + tempfile.mkdtemp(prefix="lexivec-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -51,13 +56,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/lexivec-{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lexivec_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` gave, once all that reads them is itself written."""
+    for df in tables:
+        path = getattr(df, "_lexivec_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> int:
     """Delete what ``materialise`` wrote; call it once results are stored. Returns how many folders went."""
-    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    gone = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += path.getFileSystem(conf).delete(path, True)
+        gone += _delete(spark, _written.pop())
     return gone

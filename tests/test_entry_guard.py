@@ -21,6 +21,12 @@ def test_without_the_optional_package(tmp_path):
     subprocess.run([sys.executable, "-c", SCRIPT], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
 
 
+def test_where_what_the_optional_package_imports_is_absent(tmp_path):
+    (tmp_path / "tokenizers.py").write_text("raise ImportError('not on this machine')")
+    env = os.environ | {"PYTHONPATH": f"{tmp_path}:{ROOT}"}
+    subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, check=True, env=env)
+
+
 def test_nothing_else_imports_it():
     for folder, _, files in os.walk(os.path.join(ROOT, "lexivec")):
         if os.path.basename(folder) == "llm":
