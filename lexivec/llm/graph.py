@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.session import materialise
+from lexivec.session import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         met = labels.join(near, labels["node"] == near["a"], "left").select(
             "node", F.col("component").alias("before"), F.least("component", "m").alias("mid")
         )
-        met = materialise(met, "labels")
+        before, met = labels, materialise(met, "labels")
         owner = met.select(F.col("node").alias("mid"), F.col("mid").alias("jump"))
         jumped = met.join(owner, "mid", "left").select("node", "before", F.least("mid", "jump").alias("component"))
-        jumped = materialise(jumped, "labels")
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> before").isEmpty():
-            return labels
+        labels = materialise(jumped, "labels")
+        discard(before, met)
+        if labels.where("component <> before").isEmpty():
+            discard(both)
+            return labels.select("node", "component")

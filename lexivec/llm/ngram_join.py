@@ -7,12 +7,13 @@ spoil at most H segments, so sets that link agree on the rest. Each segment's su
 a segment may also be indexed with its one-deletion neighbourhood and then stands one difference. The
 allocation per band, how many segments and how many with neighbourhoods, minimises rows and expected
 collisions given how many documents the band holds. Segments that hold nothing but tokens of many
-documents (or nothing at all) say little: the allocation leaves c segments to spare, and a set with at
-most c such segments doesn't index them; as agreeing segments agree on being such, none is missed.
+documents (or nothing at all) say little: the allocation leaves c segments to spare, and a set doesn't
+index the first c such segments in an order by what they hold. Agreeing segments have the same place in
+that order, so two sets together leave out at most c of those on which they agree, and none is missed.
 
-Sets with a common signature are linked in stars, the stars' connected components are candidate
-clusters, and each cluster is joined exactly by counting shared tokens. Clusters over a size are cut
-into blocks whose pairs are joined in separate tasks, so no cluster must fit one task.
+Sets with a common signature are compared by sketches whose bits never differ more than the sets do;
+what is left makes small clusters, in which shared tokens are counted. No bucket or cluster must fit
+one task: see ``within_groups``.
 
 Defined cases: null text, and text without words, has an empty set and links with nothing; fewer than
 k words are one shingle; a null doc_id has component null and links with nothing; rows with the same
@@ -23,7 +24,7 @@ doc_id count as linked; an empty table gives no rows; columns other than doc_id
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,17 +36,26 @@ from pyspark.sql import functions as F
 
 from lexivec.llm.common import shuffle_partitions, slices, text_of, tidy
 from lexivec.llm.graph import connected_components
-from lexivec.session import materialise
+from lexivec.session import discard, materialise
 
 #: A token is frequent if at least this share of the documents has it; at most (mean set size)/share
 #: tokens can be, so their list has a bound that doesn't grow with the corpus.
 FREQUENT = 0.002
-#: Tokens of a cluster that one task joins; larger clusters are cut into blocks.
-BLOCK_TOKENS = 3_000_000
+#: Members and tokens of a group that one task takes; larger groups are dealt in parts.
+GROUP_ROWS = 256
+GROUP_TOKENS = 2_000_000
+#: Members of a large group, on average, that all its others meet first.
+CENTRES = 24
+#: Pairs that a task looks at in one step.
+PAIRS = 500_000
 #: Rows of ids that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURES_PER_TASK = 2_000_000
 
+#: What tells sets apart, and what a task of ``within_groups`` takes together.
+SET = ["n_shingles", "k1", "k2"]
+KEYS = ["group", "i", "j"]
+
 U = np.uint64
 
 
@@ -103,6 +113,7 @@ class Join:
     den: int
     bands: tuple[Band, ...]
     frequent: np.ndarray
+    often: np.ndarray
 
     def differences(self, total: int) -> int:
         """The most tokens in which sets of so many tokens together may differ and still link."""
@@ -179,8 +190,10 @@ def signatures(tokens: np.ndarray, join: Join) -> np.ndarray:
         bare[: band.deletions] = False
         bare[used:] = False
         keep = np.arange(band.segments) < used
-        if bare.sum() <= band.spare:
-            keep &= ~bare
+        common = np.flatnonzero(bare)
+        if len(common) > band.spare:
+            common = common[np.argsort(sums[common], kind="stable")[: band.spare]]
+        keep[common] = False
         base = mix(np.arange(band.segments, dtype=np.uint64) * U(0xE7037ED1A0B428DB) + seed)
         out.append(mix(sums[keep] + base[keep]))
         near = segment < min(band.deletions, used)
@@ -220,88 +233,304 @@ def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
     found = materialise(found, "statistics")
     counts = {r["key"]: r["n"] for r in found.where("kind = 0").collect()}
     total = sum(counts.values())
-    often = found.where((F.col("kind") == 1) & (F.col("n") >= max(8.0, total * FREQUENT))).select("key").toArrow()
-    frequent = np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64))
+    often = found.where((F.col("kind") == 1) & (F.col("n") >= max(8.0, total * FREQUENT))).select("key", "n").toArrow()
+    frequent = often.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
     bands = tuple(allocate(i, a, b, counts.get(i, 0), num, den) for i, (a, b) in enumerate(zip(edges, edges[1:])))
-    return Join(k, num, den, bands, frequent)
+    return Join(k, num, den, bands, frequent[order], often.column("n").to_numpy().astype(np.int64)[order])
 
 
 def signed(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, signatures) of every document; k1 and k2 identify the set."""
+    """(doc_id, n_shingles, k1, k2, sketch, signatures) of every document; k1 and k2 identify the set."""
     sent = docs.sparkSession.sparkContext.broadcast(join)
 
     @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for part in (x for whole in parts for x in slices(whole)):
-            n, k1, k2, sigs = [], [], [], []
+            n, k1, k2, drawn, sigs = [], [], [], [], []
             for tokens in shingle_sets(part.column("text"), own.k):
                 n.append(len(tokens))
                 key = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
                 k1.append(key[0])
                 k2.append(key[1])
+                drawn.append(sketch(tokens, sketch_bits(len(tokens), own.num, own.den)))
                 sigs.append(signatures(tokens, own))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(list(map(len, sigs)))]).astype(np.int32)),
                 pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)),
             )
-            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "signatures"])
+            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            columns += [pa.array(drawn, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SET, "sketch", "signatures"])
+
+    return _own(docs).mapInArrow(batches, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary, signatures array<long>")
+
 
-    return _own(docs).mapInArrow(batches, "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>")
+BUCKETS = "bucket long, doc_id long"
 
 
-def _stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from the first set of each run of a signature to the others, from sorted rows.
+@tidy
+def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a signature as (bucket, doc_id) rows, from sorted rows; equal runs come once.
 
-    The centres of a partition's first and last run come out too (``a`` is the signature, ``edge``
-    false), so that a run cut by partitions is joined again.
+    A run within the partition is named by what is in it. The first and the last may go on in other
+    partitions: they are named by their signature, so that their parts meet again.
+    """
+    columns = [(p.column("signature").to_numpy(), p.column("doc_id").to_numpy()) for p in parts if len(p)]
+    if not columns:
+        return
+    sig, doc = (np.concatenate(c) for c in zip(*columns))
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(start, len(sig)))
+    inner = np.ones(len(start), bool)
+    inner[[0, -1]] = False
+    name = mix(np.add.reduceat(mix(doc.view(np.uint64)), start) + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    name[~inner] = mix(sig[start[~inner]].view(np.uint64) ^ U(0xD1B54A32D192ED03))
+    _, first = np.unique(name, return_index=True)
+    once = np.zeros(len(start), bool)
+    once[first] = True
+    take = np.repeat((inner & once & (size > 1)) | ~inner, size)
+    bucket = np.repeat(name.view(np.int64), size)[take]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc[take])], ["bucket", "doc_id"])
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """(bucket, doc_id), stored: the rows of ``found`` (doc_id, signatures) that share a signature.
+
+    Ranges of (signature, doc_id) also split a signature that very many sets have.
     """
-    last_sig = last_centre = first = None
-    for part in parts:
-        sig, rep = part.column("signature").to_numpy(), part.column("rep").to_numpy()
-        if not len(sig):
-            continue
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        centre = rep[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
-        if last_sig is not None and sig[0] == last_sig:
-            centre[: np.argmax(sig != last_sig) if sig[-1] != last_sig else len(sig)] = last_centre
-        elif first is None:
-            first = (sig[0], rep[0])
-        pairs = np.unique(np.stack([centre, rep], 1)[centre != rep], axis=0)
-        last_sig, last_centre = sig[-1], centre[-1]
-        yield _edges(pairs[:, 0], pairs[:, 1], True)
-    if first is not None:
-        ends = np.unique(np.array([first, (last_sig, last_centre)], np.int64), axis=0)
-        yield _edges(ends[:, 0], ends[:, 1], False)
-
-
-def _edges(a: np.ndarray, b: np.ndarray, edge: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), edge))], ["a", "b", "edge"])
-
-
-def candidate_edges(found: DataFrame) -> DataFrame:
-    """(a, b): stars of the classes' signatures. ``found`` is what ``signed`` gives."""
-    reps = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    own = found.join(reps, ["doc_id", "n_shingles", "k1", "k2"], "left_semi")
-    rows = own.select(F.col("doc_id").alias("rep"), F.explode("signatures").alias("signature"))
     total = found.agg(F.coalesce(F.sum(F.size("signatures")), F.lit(0))).first()[0]
     tasks = max(shuffle_partitions(found.sparkSession), -(-total // SIGNATURES_PER_TASK))
-    dealt = rows.repartitionByRange(tasks, "signature", "rep").sortWithinPartitions("signature", "rep")
-    stars = materialise(dealt.mapInArrow(_stars, "a long, b long, edge boolean"), "stars")
-    ends = stars.where("NOT edge").select(F.col("a").alias("signature"), "b")
-    met = ends.groupBy("signature").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
-    cut = ends.join(met, "signature").where("a <> b").select("a", "b")
-    return hung(stars.where("edge").select("a", "b").unionByName(cut))
+    rows = found.where("doc_id IS NOT NULL").select("doc_id", F.explode("signatures").alias("signature"))
+    dealt = rows.repartitionByRange(tasks, "signature", "doc_id").sortWithinPartitions("signature", "doc_id")
+    return materialise(dealt.mapInArrow(_buckets, BUCKETS), "runs")
 
 
-def hung(edges: DataFrame) -> DataFrame:
-    """The same components with fewer edges: a set and its centres all hang on the least centre.
+def candidate_buckets(docs: DataFrame, found: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(bucket, doc_id, n_shingles), stored: classes, by the doc_id that stands for each, that may link.
 
-    A set has at most as many centres as signatures, so what is collected for it is bounded by its size.
+    ``found`` is what ``signed`` gives. What is in a bucket too large for a task (it holds copies, or a
+    passage that many sets have) is dealt anew by the rarest tokens of its sets: of sets that link, so
+    many of the rarest as one may lack, and one more, have a token in common.
     """
-    near = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
-    return near.select("a", F.explode(F.array_append("all", F.col("b"))).alias("b")).where("a <> b").distinct()
+    homes = found.join(classes, SET).select("doc_id", "rep", "n_shingles").distinct()
+
+    def named(met: DataFrame) -> DataFrame:
+        rows = met.join(homes, "doc_id").groupBy("bucket", F.col("rep").alias("doc_id"))
+        return rows.agg(F.first("n_shingles").alias("n_shingles"))
+
+    met = runs(found)
+    first = materialise(named(met), "buckets")
+    discard(met)
+    large = materialise(first.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS), "large")
+    if large.isEmpty():
+        return first
+    wanted = materialise(first.join(large, "bucket", "left_semi").select("doc_id").distinct(), "wanted")
+    rare = materialise(rarest(docs, wanted, join), "rare")
+    met = runs(rare)
+    out = materialise(first.join(large, "bucket", "left_anti").unionByName(named(met)), "buckets")
+    discard(first, large, wanted, rare, met)
+    return out
+
+
+def rarest(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, signatures): so many of each set's rarest tokens that sets which link share one.
+
+    Frequent tokens come last, by their counts; the others are ordered by hash.
+    """
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(join)
+
+    @tidy
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for part in (x for whole in parts for x in slices(whole)):
+            lists = []
+            for tokens in shingle_sets(part.column("text"), own.k):
+                often = np.zeros(len(tokens), np.int64)
+                held = among(tokens, own.frequent)
+                often[held] = own.often[np.searchsorted(own.frequent, tokens[held])]
+                first = np.lexsort((mix(tokens ^ U(0x8EBC6AF09C88C6E3)), often))
+                most = len(tokens) - -(-own.num * len(tokens) // own.den) + 1
+                lists.append(tokens[first[:most]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "signatures"])
+
+    return _own(docs).join(wanted, "doc_id").mapInArrow(batches, "doc_id long, signatures array<long>")
+
+
+def complete_runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that hold whole runs of equal keys, and where each run starts."""
+    held: list[pa.Table] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    for part in parts:
+        if not len(part):
+            continue
+        table = pa.Table.from_batches([part])
+        starts = bounds(table)
+        last = [table.column(k)[0].as_py() for k in keys]
+        if held and [held[-1].column(k)[-1].as_py() for k in keys] == last and len(starts) == 1:
+            held.append(table)
+            continue
+        whole = pa.concat_tables([*held, table.slice(0, int(starts[-1]))])
+        held = [table.slice(int(starts[-1]))]
+        if len(whole):
+            yield whole, bounds(whole)
+    if held:
+        whole = pa.concat_tables(held)
+        yield whole, bounds(whole)
+
+
+def within_groups(members: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): edges that span the components which ``edges_of`` finds within groups.
+
+    ``members`` (group, doc_id, n_shingles) is a stored table. ``edges_of`` gets rows (group, i, j, side,
+    doc_id), works within equal (group, i, j) and, where both sides are there, on pairs across them only.
+    A group that is too large for a task is dealt in parts. All of its members meet some centres, drawn by
+    hash. What doesn't end in the group's main component with them, the rest, then meets everything in
+    the group, part by part: as much work as there are pairs with the rest, and none is left out.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("has"), F.sum("n_shingles").alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("has") / GROUP_ROWS, F.col("tokens") / GROUP_TOKENS)).cast("int")
+    large = materialise(sizes.where((parts > 1) & (F.col("has") > 1)).select("group", "has", parts.alias("parts")), "large")
+    tagged = members.join(large, "group", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")
+    row = lambda i, j, side: ["group", i.alias("i"), j.alias("j"), F.lit(side).alias("side"), "doc_id"]
+    every = tagged.select(*row(part, F.lit(0), 0))
+    if large.isEmpty():
+        return materialise(edges_of(every), "edges")
+    held = members.join(large, "group")
+    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "group"), F.col("has")) < CENTRES
+    spots = held.where(drawn).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    edges = materialise(edges_of(every.unionByName(spots.select(*row(F.col("at"), F.lit(0), 1)))), "edges")
+    component = connected_components(edges)
+    named = held.join(component, held["doc_id"] == component["node"], "left").select(
+        *[held[c] for c in held.columns], F.coalesce("component", "doc_id").alias("component")
+    )
+    main = named.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rest = materialise(named.join(main, "group").where("component <> main").select("group", "doc_id", "n_shingles"), "rest")
+    if rest.isEmpty():
+        return edges
+    left = rest.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum("n_shingles") / GROUP_TOKENS)).cast("int").alias("blocks"))
+    wide = F.greatest(F.ceil(F.col("parts") / 8), F.lit(1)).cast("int")
+    all_of = held.join(left, "group").withColumn("wide", wide)
+    own = all_of.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select(*row(F.col("i"), F.pmod(F.xxhash64("doc_id"), F.col("wide")).cast("int"), 0))
+    met = rest.join(left, "group").join(large.withColumn("wide", wide), "group").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    met = met.select(*row(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.col("j"), 1))
+    more = materialise(edges_of(own.unionByName(met)), "edges")
+    return edges.unionByName(more)
+
+
+def run_pairs(starts: np.ndarray, total: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i before j, of the pairs within runs, about ``most`` at a time."""
+    at = np.arange(total)
+    before = at - np.repeat(starts, np.diff(np.append(starts, total)))
+    ends = np.cumsum(before)
+    low = 0
+    while low < total:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        n = before[low:high]
+        j = np.repeat(at[low:high], n)
+        nth = np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+        if len(j):
+            yield j - 1 - nth, j
+        low = high
+
+
+def close_pairs(table: pa.Table, starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): edges that span what may link within runs, by sizes and sketches.
+
+    No pair that links is missed: linked sets differ in at most so many tokens, and so many bits.
+    """
+    ids, size, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "side"))
+    flat = pa.concat_arrays(table.column("sketch").cast(pa.large_binary()).chunks)
+    words = pc.binary_length(flat).to_numpy() // 8
+    data = np.frombuffer(flat.buffers()[2], np.uint64)
+    begin = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset :][: len(flat)] // 8
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_width(width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every sketch of that width or more, folded to it, and the row of each in that matrix."""
+        if width not in folded:
+            where, rows = np.full(len(ids), -1, np.int64), []
+            done = 0
+            for w in np.unique(words[words >= width]):
+                own = np.flatnonzero(words == w)
+                block = data[(begin[own][:, None] + np.arange(w)).ravel()].reshape(len(own), w // width, width)
+                rows.append(np.bitwise_xor.reduce(block, axis=1))
+                where[own] = done + np.arange(len(own))
+                done += len(own)
+            folded[width] = np.concatenate(rows), where
+        return folded[width]
+
+    both = np.maximum.reduceat(side, starts) != np.minimum.reduceat(side, starts)
+    cross = np.repeat(both, np.diff(np.append(starts, len(ids))))
+    label = np.arange(len(ids))
+    for i, j in run_pairs(starts, len(ids), PAIRS):
+        fit = (num * np.maximum(size[i], size[j]) <= den * np.minimum(size[i], size[j])) & (ids[i] != ids[j])
+        fit &= ~cross[j] | (side[i] != side[j])
+        i, j = i[fit], j[fit]
+        width = np.minimum(words[i], words[j])
+        for w in np.unique(width):
+            matrix, where = at_width(int(w))
+            own = width == w
+            x, y = i[own], j[own]
+            for low in range(0, len(x), max(1, PAIRS // int(w))):
+                p, q = x[low : low + max(1, PAIRS // int(w))], y[low : low + max(1, PAIRS // int(w))]
+                apart = np.bitwise_count(matrix[where[p]] ^ matrix[where[q]]).sum(axis=1, dtype=np.int64)
+                near = apart <= (size[p] + size[q]) * (den - num) // (den + num)
+                label = merged(label, p[near], q[near])
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    pairs = np.unique(np.stack([ids[label[own]], ids[own]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the pairs (i, j) are linked: the least position that each reaches."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            jumped = label[label]
+            if np.array_equal(jumped, label):
+                break
+            label = jumped
+    return label
+
+
+def sketch_edges(found: DataFrame, classes: DataFrame, join: Join) -> Callable[[DataFrame], DataFrame]:
+    """For ``within_groups``: what may link by the sketches that ``signed`` made."""
+    one = found.join(classes, SET).where("doc_id = rep").select("doc_id", "n_shingles", "sketch").distinct()
+    num, den = join.num, join.den
+
+    @tidy
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in complete_runs(parts, KEYS):
+            yield _edges(*close_pairs(table, starts, num, den))
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        full = rows.join(one, "doc_id").select(*KEYS, "side", "doc_id", "n_shingles", "sketch")
+        return full.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(batches, "a long, b long")
+
+    return edges_of
 
 
 class Forest:
@@ -316,14 +545,21 @@ class Forest:
             self.root[np.isin(self.root, roots)] = roots[0]
 
 
-def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of parity bits per set: tokens flip the bit they hash to.
+def sketch(tokens: np.ndarray, bits: int) -> bytes:
+    """Parity bits of a set: each token flips the bit that it hashes to.
 
     A token that only one of two sets has flips one bit of their difference, so the number of bits
-    that differ is never more than the number of tokens that do.
+    that differ is never more than the number of tokens that do. Half of the bits laid over the other
+    half give the sketch of half the width.
     """
-    rows = [np.packbits((np.bincount((mix(s) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)) for s in sets]
-    return np.stack(rows).view(np.uint64)
+    odd = np.bincount((mix(tokens) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def sketch_bits(size: int, num: int, den: int) -> int:
+    """A width that tells apart sets of about this size: over four times what linked ones may differ in."""
+    most = (size + size * den // num) * (den - num) // (den + num)
+    return 1 << min(max((4 * most).bit_length(), 7), 14)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -342,8 +578,8 @@ def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.n
     mark = np.zeros(local.max() + 1, np.int32)
     forest = Forest(len(sets))
     cross = len(np.unique(side)) > 1
-    usual = 2 * int(np.quantile(size, 0.75)) * (den - num) // (den + num)
-    sketch = sketches(ordered, 1 << int(np.clip(np.ceil(np.log2(4 * usual + 1)), 8, 14)))
+    bits = sketch_bits(int(np.quantile(size, 0.75)), num, den)
+    flags = np.frombuffer(b"".join(sketch(s, bits) for s in ordered), np.uint64).reshape(len(sets), -1)
     for i in range(len(sets)):
         stop = int(np.searchsorted(size, size[i] * den // num, side="right"))
         there = np.arange(i + 1, stop)
@@ -352,7 +588,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.n
             there = there[side[there] != side[i]]
         if not len(there):
             continue
-        apart = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(flags[there] ^ flags[i]).sum(axis=1, dtype=np.int64)
         there = there[apart <= (size[i] + size[there]) * (den - num) // (den + num)]
         if not len(there):
             continue
@@ -369,84 +605,70 @@ def linked(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.n
     return out
 
 
-def cluster_links(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
-    """(a, b): a spanning set of the exact links within candidate clusters.
-
-    ``clusters`` has doc_id, n_shingles, component. A cluster of more than ``BLOCK_TOKENS`` tokens is
-    dealt over blocks and every pair of blocks is one group.
-    """
-    sizes = clusters.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    members = materialise(clusters.join(sizes, "component").select("doc_id", "component", "blocks"), "members")
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = _own(docs).join(members, "doc_id").withColumn("block", block)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "text")
-    keys = ["component", "i", "j"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+def exact_edges(docs: DataFrame, join: Join, few: bool) -> Callable[[DataFrame], DataFrame]:
+    """For ``within_groups``: the exact links, from the texts. ``few``: the rows may be broadcast."""
     k, num, den = join.k, join.num, join.den
 
-    def group_edges(ids: list[int], texts: list[str], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        sets = list(shingle_sets(pa.array(texts, pa.large_string()), k))
+    def group_edges(ids: np.ndarray, texts: pa.Array, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sets = list(shingle_sets(texts, k))
         full = [x for x in range(len(sets)) if len(sets[x])]
         if len(full) < 2:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        own = np.array(ids, np.int64)[full]
-        root = linked([sets[x] for x in full], np.array(blocks)[full], num, den)
+            return ids[:0], ids[:0]
+        own = ids[full]
+        root = linked([sets[x] for x in full], side[full], num, den)
         least = np.full(len(full), np.iinfo(np.int64).max)
         np.minimum.at(least, root, own)
         return least[root], own
 
     @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        ids: list[int] = []
-        texts: list[str] = []
-        blocks: list[int] = []
-        for part in (x for whole in parts for x in slices(whole)):
-            table = [part.column(c).to_pylist() for c in (*keys, "doc_id", "text", "block")]
-            a_all, b_all = [], []
-            for c, i, j, doc_id, text, at in zip(*table):
-                if held != (c, i, j):
-                    if ids:
-                        a, b = group_edges(ids, texts, blocks)
-                        a_all.append(a)
-                        b_all.append(b)
-                    held, ids, texts, blocks = (c, i, j), [], [], []
-                ids.append(doc_id)
-                texts.append(text)
-                blocks.append(at)
-            if a_all:
-                a, b = np.concatenate(a_all), np.concatenate(b_all)
-                yield _edges(a[a != b], b[a != b], True)
-        if ids:
-            a, b = group_edges(ids, texts, blocks)
-            yield _edges(a[a != b], b[a != b], True)
-
-    return dealt.mapInArrow(batches, "a long, b long, edge boolean").select("a", "b")
+        for table, starts in complete_runs((x for whole in parts for x in slices(whole)), KEYS):
+            ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+            texts = pa.concat_arrays(table.column("text").cast(pa.large_string()).chunks)
+            for low, high in zip(starts, np.append(starts[1:], len(ids))):
+                a, b = group_edges(ids[low:high], texts.slice(low, high - low), side[low:high])
+                yield _edges(a[a != b], b[a != b])
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        wanted = F.broadcast(rows) if few else rows
+        full = _own(docs).join(wanted, "doc_id").select(*KEYS, "side", "doc_id", "text")
+        return full.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(batches, "a long, b long")
+
+    return edges_of
+
+
+def class_links(docs: DataFrame, found: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(a, b): exact links that span every component of classes.
+
+    Sets that share a signature and may link by their sketches make clusters, in which texts decide.
+    """
+    buckets = candidate_buckets(docs, found, classes, join)
+    near = within_groups(buckets.withColumnRenamed("bucket", "group"), sketch_edges(found, classes, join))
+    clusters = connected_components(near)
+    size = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles"))
+    members = clusters.join(size, "node").select(F.col("component").alias("group"), F.col("node").alias("doc_id"), "n_shingles")
+    members = materialise(members, "members")
+    discard(buckets)
+    return within_groups(members, exact_edges(docs, join, members.count() <= BROADCAST_ROWS))
 
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that each document reaches by links."""
     join = statistics(docs, k, num, den)
     found = materialise(signed(docs, join), "signed")
-    keys = ["n_shingles", "k1", "k2"]
-    classes = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
+    classes = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
     classes = materialise(classes, "classes")
-    clusters = connected_components(candidate_edges(found))
-    sized = classes.select(F.col("rep").alias("node"), "n_shingles").join(clusters, "node")
-    links = materialise(cluster_links(docs, sized.withColumnRenamed("node", "doc_id"), join), "links")
+    links = class_links(docs, found, classes, join)
     # A doc_id that stands in several classes links them: its copies are one document.
-    homes = found.join(classes, keys).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
+    homes = found.join(classes, SET).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
     several = homes.where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     components = connected_components(links.unionByName(several))
     named = classes.join(components, classes["rep"] == components["node"], "left").select(
-        *keys, "rep", "top", F.coalesce("component", "rep").alias("component_id")
+        *SET, "rep", "top", F.coalesce("component", "rep").alias("component_id")
     )
-    moved = named.where("top <> rep OR component_id <> rep").select(*keys, "component_id")
+    moved = named.where("top <> rep OR component_id <> rep").select(*SET, "component_id")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    out = found.select("doc_id", *keys).join(moved, keys, "left")
+    out = found.select("doc_id", *SET).join(moved, SET, "left")
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

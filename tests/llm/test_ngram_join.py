@@ -72,11 +72,55 @@ def test_edge_rows(docs):
     assert kept.columns == docs((1, "a")).columns and {r["doc_id"] for r in kept.collect()} == {None, 3, 7, 8, 9, 10, 12}
 
 
-def test_large_cluster_is_cut_into_blocks(docs, monkeypatch):
-    monkeypatch.setattr(j, "BLOCK_TOKENS", 300)
-    rows = corpus(4, 5, 12)
-    got = {r["doc_id"]: r["component_id"] for r in j.join_components(docs(*rows)).collect()}
-    assert got == {i: c for i, (_, c) in brute(rows, 3, 90, 100).items()}
+@pytest.mark.parametrize("rows, tokens, centres", [(4, 300, 2), (3, 10**6, 0), (256, 300, 24)])
+def test_large_groups_are_dealt_in_parts(docs, monkeypatch, rows, tokens, centres):
+    monkeypatch.setattr(j, "GROUP_ROWS", rows)
+    monkeypatch.setattr(j, "GROUP_TOKENS", tokens)
+    monkeypatch.setattr(j, "CENTRES", centres)
+    shared = words(30, 77)
+    corpus_rows = corpus(4, 5, 12)
+    # A passage that many texts share, some of which link.
+    for n in range(30):
+        corpus_rows.append((len(corpus_rows), " ".join(shared + words(n % 7, n // 2))))
+    got = {r["doc_id"]: r["component_id"] for r in j.join_components(docs(*corpus_rows), 3, 80).collect()}
+    assert got == {i: c for i, (_, c) in brute(corpus_rows, 3, 80, 100).items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=30, unique=True), min_size=2, max_size=30), st.sampled_from([60, 80, 90]), st.integers(0, 3))
+def test_sketches_miss_no_link(lists, num, cut):
+    sets = [np.sort(j.mix(np.array(x, np.uint64) + np.uint64(1))) for x in lists]
+    group = np.sort(np.arange(len(sets)) % (cut + 1))
+    table = pa.table(
+        {
+            "doc_id": np.arange(len(sets)),
+            "n_shingles": [len(x) for x in sets],
+            "side": np.zeros(len(sets), np.int64),
+            "sketch": pa.array([j.sketch(x, j.sketch_bits(len(x), num, 100)) for x in sets], pa.binary()),
+        }
+    )
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    a, b = j.close_pairs(table, starts, num, 100)
+    label = j.merged(np.arange(len(sets)), a, b)
+    for x in range(len(sets)):
+        for y in range(x):
+            shared = len(set(lists[x]) & set(lists[y]))
+            if group[x] == group[y] and 100 * shared >= num * len(set(lists[x]) | set(lists[y])):
+                assert label[x] == label[y]
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), max_size=40), st.integers(1, 7))
+def test_complete_runs(pairs, step):
+    pairs = sorted(pairs)
+    whole = pa.table({"group": pa.array([a for a, _ in pairs], pa.int64()), "i": pa.array([b for _, b in pairs], pa.int64())})
+    parts = [b for n in range(0, len(pairs), step) for b in whole.slice(n, step).to_batches()]
+    seen = []
+    for table, starts in j.complete_runs(iter(parts), ["group", "i"]):
+        rows = list(zip(table["group"].to_pylist(), table["i"].to_pylist()))
+        for low, high in zip(starts, [*starts[1:], len(rows)]):
+            assert len(set(rows[low:high])) == 1
+            seen.append(rows[low:high])
+    assert [x for run in seen for x in run] == pairs and len(seen) == len(set(pairs))
 
 
 def test_ids_are_joined_beyond_the_broadcast_bound(docs, monkeypatch):
@@ -90,7 +134,7 @@ def test_ids_are_joined_beyond_the_broadcast_bound(docs, monkeypatch):
 def cuts(num, documents=1000, frequent=()):
     edges = j.band_edges(num, 100, 5000)
     bands = tuple(j.allocate(i, a, b, documents, num, 100) for i, (a, b) in enumerate(zip(edges, edges[1:])))
-    return j.Join(1, num, 100, bands, np.sort(np.array(frequent, np.uint64)))
+    return j.Join(1, num, 100, bands, np.sort(np.array(frequent, np.uint64)), np.ones(len(frequent), np.int64))
 
 
 @settings(max_examples=300, deadline=None)
