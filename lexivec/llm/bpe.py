@@ -1,14 +1,17 @@
-"""BPE encoding and decoding of whole texts, long unsplit runs by tree concatenation.
+"""BPE encoding and decoding of whole texts, long ones by tree concatenation.
 
-The vocabulary drops white space, so a text is cut at ASCII white space without changing its ids, and
-each distinct piece of a batch is encoded once. A piece over ``LEAF`` characters that the
-pre-tokenizer doesn't split further is halved down to leaves; the leaves are encoded in parallel, and
-at each join a window of tokens on either side is encoded anew, growing until its first and last
-token are those that both sides have there. Every neighbouring pair of tokens then stands in some
-correct encoding, which makes the whole one correct.
+A long text is halved, wherever the middle falls, down to leaves; the leaves of all texts of a batch are
+encoded in parallel, and at each join a window of pieces on either side is encoded anew, growing until
+its first and last piece are those that both sides have there. A piece is what stands between ASCII white
+space; the vocabulary drops that, so pieces can be encoded apart, and each distinct one is encoded once. A
+piece over ``LEAF`` characters that the pre-tokenizer doesn't split further is halved in turn, and joined
+by windows of tokens. Every neighbouring pair of tokens then stands in some correct encoding, which makes
+the whole one correct.
 
 Defined cases: null and empty text give no ids and an empty decoded text; special-token strings in a
-text become their ids, as in the library; an empty table gives no rows; other columns are ignored.
+text become their ids, as in the library, also where a cut goes through them; a very long text is taken
+whole, by one worker, leaf by leaf; repeated rows are encoded alike; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +27,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from lexivec.llm.common import slices, text_of, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters (bytes in the byte-level alphabet) of an unsplit run that is encoded in one piece.
 LEAF = 24
-#: Distinct pieces in each of a worker's two memories, about 200 bytes each; a full one becomes the older.
-REMEMBERED = 100_000
+#: Characters of a text that are cut into pieces in one go; longer texts are halved.
+LEAF_TEXT = 8_192
+#: Distinct pieces that a worker remembers, about 200 bytes each; when there are more it begins anew.
+REMEMBERED = 200_000
+#: Pieces that one call encodes together.
+TOGETHER = 2_000
 
 
 class Codec:
     """Ids of texts under one vocabulary file, with a memory of pieces."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, leaf_text: int = LEAF_TEXT):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -50,16 +57,21 @@ class Codec:
         #: Encoders of a run's inside and of its end; neither splits nor normalises.
         self.inside = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
         self.end = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
+        #: The same for several runs with a space between.
+        self.runs = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
+        self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         self.token = [""] * size
         for text, i in [*model["vocab"].items(), *self.special.items()]:
             self.token[i] = text
-        self.leaf = leaf
-        #: Ids of pieces met lately, and of those met before; what is met again moves up.
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Whether a token ends a run.
+        self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.token])
+        self.leaf, self.leaf_text = leaf, leaf_text
+        #: How many joins of halves there were, of texts and of runs.
+        self.joins = 0
+        self.forget()
 
     def text_of_token(self, i: int, last: bool) -> str:
         text = self.token[i]
@@ -69,6 +81,7 @@ class Codec:
         """Ids of one unsplit run in the byte-level alphabet, by tree concatenation."""
         if len(run) <= self.leaf:
             return self.end.encode(run, add_special_tokens=False).ids
+        self.joins += 1
         n = 1
         while len(run) > n * self.leaf:
             n *= 2
@@ -109,47 +122,105 @@ class Codec:
         return ids
 
     def forget(self) -> None:
-        """Give up both memories, as a worker does at the end of a partition."""
-        self.memory, self.older = {}, {}
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces as little-endian 32-bit words."""
-        found = list(map(self.memory.get, pieces))
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in missing:
-            old = self.older.get(pieces[i])
-            if old is None:
-                new.append(pieces[i])
-            else:
-                self.memory[pieces[i]] = old
-        short = [p for p in new if len(p) <= self.leaf]
-        plain = [p for p in short if PLAIN(p)]
-        mixed = [p for p in short if not PLAIN(p)]
-        ready = [byte_level(p.lower()) for p in plain]
-        for own, given, coder in ((plain, ready, self.end), (mixed, mixed, self.tokenizer)):
-            for p, e in zip(own, coder.encode_batch_fast(given, add_special_tokens=False)):
-                self.memory[p] = np.array(e.ids, "<u4").tobytes()
-        for p in new:
-            if len(p) > self.leaf:
-                self.memory[p] = np.array(self.long_piece(p), "<u4").tobytes()
-        for i in missing:
-            found[i] = self.memory[pieces[i]]
+        """Give up the memory, as a worker does at the end of a partition."""
+        #: Numbers of pieces, and their ids one after the other.
+        self.memory: dict[str, int] = {}
+        self.flat, self.size = np.empty(0, "<u4"), np.empty(0, np.int64)
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one after the other, and how many each has."""
         if len(self.memory) > REMEMBERED:
-            self.older, self.memory = self.memory, {}
-        return found
+            self.forget()
+        number = np.fromiter((self.memory.get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            flat, size = self.encoded(new)
+            first = len(self.size)
+            number[missing] = np.arange(first, first + len(new))
+            self.memory.update(zip(new, range(first, first + len(new))))
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        start = (np.cumsum(self.size) - self.size)[number]
+        size = self.size[number]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``pieces``, of pieces that are not remembered."""
+        plain = np.fromiter((len(p) <= self.leaf and PLAIN(p) is not None for p in pieces), bool, len(pieces))
+        ready = [byte_level(pieces[i].lower()) for i in np.flatnonzero(plain).tolist()]
+        joined = [" ".join(ready[i : i + TOGETHER]) for i in range(0, len(ready), TOGETHER)]
+        ids = [np.array(e.ids, "<u4") for e in self.runs.encode_batch_fast(joined, add_special_tokens=False)]
+        easy = np.concatenate([np.empty(0, "<u4"), *ids])
+        ends = np.flatnonzero(self.ends[easy])
+        if len(ends) != len(ready):  # a vocabulary that doesn't mark the ends of runs
+            own = [self.end.encode(r, add_special_tokens=False).ids for r in ready]
+            easy, ends = np.array([i for x in own for i in x], "<u4"), np.cumsum(list(map(len, own)), dtype=np.int64) - 1
+        others = np.flatnonzero(~plain).tolist()
+        short = [i for i in others if len(pieces[i]) <= self.leaf]
+        found = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in short], add_special_tokens=False))))
+        found |= {i: self.long_piece(pieces[i]) for i in others if i not in found}
+        size = np.zeros(len(pieces), np.int64)
+        size[plain] = np.diff(np.append(-1, ends))
+        size[others] = [len(found[i]) for i in others]
+        flat = np.empty(size.sum(), "<u4")
+        own = np.repeat(plain, size)
+        flat[own] = easy
+        flat[~own] = [x for i in others for x in found[i]]
+        return flat, size
 
     def batch(self, texts: pa.Array) -> EncodedBatch:
         if texts.offset:  # string kernels misread a slice that starts inside its buffer
             texts = texts.take(pa.array(np.arange(len(texts))))
-        split = pc.ascii_split_whitespace(eased(pc.fill_null(texts.cast(pa.large_string()), "")))
+        texts = eased(pc.fill_null(texts.cast(pa.large_string()), ""))
+        n = pc.utf8_length(texts).to_numpy()
+        leaves = np.ones(len(n), np.int64)
+        while (more := n > leaves * self.leaf_text).any():
+            leaves[more] *= 2
+        if (leaves > 1).any():
+            parts: list[str] = []
+            for text, length, count in zip(texts.to_pylist(), n.tolist(), leaves.tolist()):
+                cuts = [length * i // count for i in range(count + 1)]
+                parts += [text[a:b] for a, b in zip(cuts, cuts[1:])] if count > 1 else [text]
+            texts = pa.array(parts, pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         offsets = split.offsets.to_numpy()
-        return EncodedBatch(self, coded.dictionary.to_pylist(), coded.indices.to_numpy(), offsets - offsets[0])
+        offsets = offsets - offsets[0]
+        if (leaves > 1).any():
+            own, at = [], 0
+            for count in leaves.tolist():
+                parts = [codes[offsets[i] : offsets[i + 1]] for i in range(at, at + count)]
+                own.append(parts[0] if count == 1 else self.tree(parts, names))
+                at += count
+            codes, offsets = np.concatenate(own), np.concatenate([[0], np.cumsum(list(map(len, own)))])
+        return EncodedBatch(self, names, codes, offsets)
+
+    def tree(self, parts: list[np.ndarray], names: list[str]) -> np.ndarray:
+        """Piece numbers of a text from those of its leaves; pieces that the joins make get new names."""
+        while len(parts) > 1:
+            parts = [self.join_pieces(parts[i], parts[i + 1], names) for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def join_pieces(self, left: np.ndarray, right: np.ndarray, names: list[str]) -> np.ndarray:
+        self.joins += 1
+        k = 1
+        while True:
+            a, b = [names[i] for i in left[-k:]], [names[i] for i in right[:k]]
+            window = ASCII_SPACES((" ".join(a) + " ".join(b)))
+            if (len(a) == len(left) or window[0] == a[0]) and (len(b) == len(right) or window[-1] == b[-1]):
+                break
+            k *= 2
+        new = np.arange(len(names), len(names) + len(window))
+        names += window
+        return np.concatenate([left[: len(left) - len(a)], new, right[len(b) :]])
 
 
 #: Latin-1 letters only: the normaliser just lowers them and the pre-tokenizer keeps them together.
 PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The pieces of a text, with empty ones at its ends where there is white space.
+ASCII_SPACES = re.compile("[\x20\x09-\x0d]+").split
 #: Byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
@@ -177,9 +248,7 @@ class EncodedBatch:
 
     def __init__(self, codec: Codec, pieces: list[str], codes: np.ndarray, offsets: np.ndarray):
         self.codes, self.offsets = codes, offsets
-        found = codec.pieces(pieces)
-        self.size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.flat = np.frombuffer(b"".join(found), "<u4")
+        self.flat, self.size = codec.pieces(pieces)
         self.start = np.cumsum(self.size) - self.size
 
     def __len__(self) -> int:
