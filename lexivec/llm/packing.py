@@ -3,14 +3,17 @@
 Documents become token sequences and end with an end id; only those over the capacity are cut. What
 packing needs of them is how many pieces have each length: at most ``capacity`` numbers, whatever the
 corpus. On the driver these are packed. Large lengths are rounded up to the largest of their group,
-the groups holding equally many pieces; configurations of these few sizes are chosen one after the
-other, each filling a sequence best around the largest size left and repeated as often as the counts
-allow; actual pieces take the places of the rounded ones; small pieces go, longest first, where they
-fit best. The plan is a list of ranges: pieces of one length, by rank, to consecutive sequences at one
-offset. Ranks are found in Spark without gathering a length's pieces in one task.
-
-Defined cases: null and empty text give one piece with the end id; an empty table gives no rows;
-repeated rows are packed once each; other columns are ignored.
+the groups holding equally many pieces. How often to use which configuration of these few sizes is the
+linear program of cutting stock, solved by generating columns: a basis of one configuration per size,
+priced by a knapsack over the capacity. Its solution is rounded down; what that leaves fills sequences
+best around the largest size left. Actual pieces take the places of the rounded ones; small pieces go,
+longest first, where they fit best. The plan is a list of ranges: pieces of one length, by rank, to
+consecutive sequences at one offset. It has some rows per length and configuration, so its size does not
+grow with the corpus. Ranks are found in Spark without gathering a length's pieces in one task.
+
+Defined cases: null and empty text give one piece with the end id; a very long text is cut into pieces
+by the worker that encodes it; an empty table gives no rows; repeated rows are packed once each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +35,13 @@ CAPACITY = 4096
 END_ID = 1
 #: (share of the capacity over which lengths are large, groups of large lengths): each is tried on the
 #: counts, the plan with the fewest sequences is used. Fewer groups leave more room for small pieces.
-TRIES = tuple((large, groups) for large in (1 / 8, 1 / 4, 3 / 8) for groups in (16, 24, 32, 64, 128, 256, 1024))
+TRIES = tuple((large, groups) for large in (1 / 4, 3 / 8, 1 / 8) for groups in (16, 32, 24))
+#: Configurations that enter the basis at most; the optimum of a few dozen sizes needs far fewer.
+ROUNDS = 2_000
 #: Pieces ranked in one bucket, on average.
 BUCKET_PIECES = 100_000
+
+PIECES = 100_000
 #: Ranges a plan may have; it has a few per distinct length, so this is far off for any input.
 PLAN_ROWS = 2_000_000
 
@@ -83,8 +90,6 @@ class Plan:
         self._large(big, groups)
         for length in sorted((n for n in counts if n not in big), reverse=True):
             self._small(length, counts[length])
-        if len(self.rows) > PLAN_ROWS:
-            raise ValueError(f"a plan of {len(self.rows)} ranges is too large to send to every task")
 
     def _put(self, length: int, count: int, first: int, offset: int) -> None:
         self.rows.append((length, self.rank[length], count, first, offset))
@@ -193,8 +198,14 @@ def linear_groups(counts: dict[int, int], groups: int) -> tuple[list[int], list[
 
 
 def configurations(sizes: list[int], left: list[int], capacity: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
-    """([(group, copies)], times) until nothing is left: the largest size left, filled best around."""
+    """([(group, copies)], times) until nothing is left: the program's solution rounded down, then best filling."""
     left = list(left)
+    for config, times in relaxed(sizes, left, capacity):
+        times = min(times, *(left[g] // n for g, n in config))
+        if times:
+            for g, n in config:
+                left[g] -= n * times
+            yield config, times
     for seed in range(len(sizes)):
         while left[seed]:
             config = dict([(seed, 1)])
@@ -209,6 +220,50 @@ def configurations(sizes: list[int], left: list[int], capacity: int) -> Iterator
             yield sorted(config.items()), times
 
 
+def relaxed(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Configurations of the cutting-stock program's fractional optimum, each as often as rounded down."""
+    n = len(sizes)
+    if not n:
+        return []
+    basis = np.diag([float(capacity // size) for size in sizes])
+    for _ in range(ROUNDS):
+        worth = np.linalg.solve(basis.T, np.ones(n))
+        column = knapsack(sizes, worth, capacity)
+        if column @ worth <= 1 + 1e-9:
+            break
+        use = np.linalg.solve(basis, np.array(counts, float))
+        step = np.linalg.solve(basis, column.astype(float))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-9, np.maximum(use, 0) / step, np.inf)
+        if not np.isfinite(ratio).any():
+            break
+        basis[:, int(np.argmin(ratio))] = column
+    use = np.floor(np.linalg.solve(basis, np.array(counts, float)) + 1e-9).astype(np.int64)
+    order = np.argsort(-(basis.T @ np.array(sizes)), kind="stable")
+    return [([(g, int(basis[g, i])) for g in range(n) if basis[g, i]], int(use[i])) for i in order if use[i] > 0]
+
+
+def knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size make the sequence of the greatest worth."""
+    best = np.zeros(capacity + 1)
+    took = np.zeros((len(sizes), capacity + 1), np.int32)
+    for g, size in enumerate(sizes):
+        if worth[g] <= 0:
+            continue
+        base = best.copy()
+        for copies in range(1, capacity // size + 1):
+            with_it = base[: -size * copies] + copies * worth[g]
+            better = with_it > best[size * copies :] + 1e-12
+            best[size * copies :][better] = with_it[better]
+            took[g, size * copies :][better] = copies
+    out = np.zeros(len(sizes), np.int64)
+    room = int(np.argmax(best))
+    for g in range(len(sizes) - 1, -1, -1):
+        out[g] = took[g, room]
+        room -= int(out[g]) * sizes[g]
+    return out
+
+
 def best_fill(sizes: list[int], left: list[int], room: int, first: int) -> list[int]:
     """Groups from ``first`` on, each as often as is left, whose sizes fill the room best."""
     if first >= len(sizes) or room < sizes[-1]:
