@@ -1,19 +1,23 @@
 """Secret scans with structural confirmation.
 
 Three base patterns (assignments, access ids, hex runs) are reported as they match. Beyond them a
-candidate is reported only if its structure holds: a base64, base64url or hex run must decode to a key
-encoding whose nested lengths add up (DER, OpenSSH), a PEM body likewise, with escaped line ends and
-headers read (of an encrypted one the headers are the structure), a signed token needs a JSON header with
-an algorithm. Offsets are code points of the whole text.
-
-Defined cases: null text counts as empty and gives the hash of an empty list; an empty table gives
-no rows; repeated rows are scanned alike; other columns are ignored (by the stage: passed through).
+candidate is reported only if its structure holds: a base64, base64url or hex run, on one line or over
+several, must decode to a private key: DER whose nested lengths add up and whose fields are those of
+PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA, or OpenSSH's own form; a PEM body likewise, with escaped
+line ends and headers read (of an encrypted one the headers are the structure). Certificates, signatures
+and public keys are DER too, but not secret, and stay. A signed token needs a JSON header with an
+algorithm. Offsets are code points of the whole text.
+
+Defined cases: null text counts as empty and gives the hash of an empty list; a very long text is
+scanned whole; an empty table gives no rows; repeated rows are scanned alike; other columns are ignored
+(by the stage: passed through).
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -33,7 +37,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "key", "jwt")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*+)-----END \1-----")
 #: Escapes of JSON and the like within a PEM body: ends of lines, and the slash.
 ESCAPED_END = re.compile(r"\\+(?:[nrt]|u000[aAdD9])")
 ESCAPED_SLASH = re.compile(r"\\+/")
@@ -42,11 +46,19 @@ PEM_HEADER = re.compile(r"\b(Proc-Type|DEK-Info):\s*([A-Za-z0-9-]+,[A-Za-z0-9]+)
 _START = r"(?:(?<=\\[nrt])|(?<![{0}])(?!(?<=\\)[nrt]))[{0}]{{40,}}={{0,2}}"
 BASE64 = re.compile(_START.format("A-Za-z0-9+/"))
 BASE64_URL = re.compile(_START.format("A-Za-z0-9_-"))
-#: How every DER sequence, OpenSSH private key and public blob begins: 30, the magic, three zero bytes.
-BASE64_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXkt|AAAA")
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30(?:8[12])?[0-9A-Fa-f]{38,}")
+#: Runs over several lines, as PEM bodies without their first and last line.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,}\r?\n)+[A-Za-z0-9+/]+={0,2}(?![A-Za-z0-9+/=])")
+#: What any run of base64 or hex has; most texts have none.
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{40}")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})")
 
+# Fixed values of DER and of the key formats: tags, counts of numbers after the version, and how the
+# object identifiers of password-based encryption (PKCS#5, PKCS#12) begin.
+INTEGER, OCTETS, OBJECT_ID, SEQUENCE, CONSTRUCTED = 0x02, 0x04, 0x06, 0x30, 0x20
+RSA_NUMBERS, DSA_NUMBERS = 8, 5
+PASSWORD_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 Span = tuple[int, int, str]
 
 
@@ -66,44 +78,65 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return at + 2 + n, length
 
 
-def is_der_key(data: bytes, depth: int = 0) -> bool:
-    """A SEQUENCE that fills the data, whose elements' nested lengths all add up."""
-    if len(data) < 16 or data[0] != 0x30:
-        return False
-    return _der_filled(data, 0, len(data), 0) == 1 and _key_fields(data)
-
-
-def _der_filled(data: bytes, at: int, end: int, depth: int) -> int:
-    """Number of elements that exactly fill ``data[at:end]``; -1 if they don't."""
-    count = 0
+def der_elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end of the content) of the elements that exactly fill ``data[at:end]``; None if they don't."""
+    found = []
     while at < end:
         head = der_length(data, at)
         if head is None or sum(head) > end:
-            return -1
-        if data[at] & 0x20 and (depth > 12 or _der_filled(data, head[0], sum(head), depth + 1) < 0):
-            return -1
-        at, count = sum(head), count + 1
-    return count
+            return None
+        found.append((data[at], head[0], sum(head)))
+        at = sum(head)
+    return found
 
 
-def _key_fields(data: bytes) -> bool:
-    """The first field is a version or an algorithm sequence, and more follow it."""
-    start, length = der_length(data, 0)
-    if start >= len(data) or data[start] not in (0x02, 0x30):
+def der_fields(data: bytes) -> list[tuple[int, int, int]] | None:
+    """The fields of a SEQUENCE that is the whole data, if the lengths add up at every depth."""
+    top = der_elements(data, 0, len(data))
+    if top is None or len(top) != 1 or top[0][0] != SEQUENCE:
+        return None
+    work = [fields := der_elements(data, *top[0][1:])]
+    while work:
+        level = work.pop()
+        if level is None:
+            return None
+        work += [der_elements(data, start, end) for tag, start, end in level if tag & CONSTRUCTED]
+    return fields
+
+
+def is_der_key(data: bytes) -> bool:
+    """Whether the data is a private key in one of the forms that have fields of their own."""
+    if len(data) < 16 or data[0] != SEQUENCE or (fields := der_fields(data)) is None or len(fields) < 2:
         return False
-    first = der_length(data, start)
-    return first is not None and sum(first) < start + length
+    tags = [tag for tag, _, _ in fields]
+    value = data[fields[0][1] : fields[0][2]]
+    if tags[0] == INTEGER and len(value) == 1:
+        version, rest = value[0], tags[1:]
+        if set(rest) == {INTEGER}:
+            return version == 0 and len(rest) in (RSA_NUMBERS, DSA_NUMBERS)
+        if rest[:RSA_NUMBERS] == [INTEGER] * RSA_NUMBERS:
+            return version == 1 and rest[RSA_NUMBERS:] == [SEQUENCE]
+        if rest[0] == OCTETS:  # SEC1: curve and public point may follow
+            return version == 1 and fields[1][2] > fields[1][1] and rest[1:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+        if rest[:2] == [SEQUENCE, OCTETS]:  # PKCS#8: attributes and public key may follow
+            return version in (0, 1) and bool(_algorithm(data, fields[1])) and set(rest[2:]) <= {0xA0, 0xA1, 0x81}
+    return tags == [SEQUENCE, OCTETS] and _algorithm(data, fields[0]).startswith(PASSWORD_ENCRYPTION)
+
+
+def _algorithm(data: bytes, field: tuple[int, int, int]) -> bytes:
+    """The object identifier that an algorithm sequence begins with; empty if it doesn't."""
+    inner = der_elements(data, *field[1:]) or [(0, 0, 0)]
+    return data[inner[0][1] : inner[0][2]] if inner[0][0] == OBJECT_ID else b""
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """OpenSSH private keys, and public blobs: length-prefixed strings that fill the data."""
+    """An OpenSSH private key: after its magic, length-prefixed strings."""
     magic = b"openssh-key-v1\x00"
-    if data.startswith(magic):
-        # cipher, its key derivation and the options of that; what follows is for the cipher to say
-        fields, _ = _prefixed(data[len(magic) :], 3)
-        return len(fields) == 3 and re.fullmatch(rb"[\x21-\x7e]+", fields[0]) is not None
-    fields, at = _prefixed(data)
-    return len(fields) >= 2 and at == len(data) and re.match(rb"ssh-|ecdsa-|sk-", fields[0]) is not None
+    if not data.startswith(magic):
+        return False
+    # cipher, its key derivation and the options of that; what follows is for the cipher to say
+    fields, _ = _prefixed(data[len(magic) :], 3)
+    return len(fields) == 3 and re.fullmatch(rb"[\x21-\x7e]+", fields[0]) is not None
 
 
 def _prefixed(data: bytes, most: int | None = None) -> tuple[list[bytes], int]:
@@ -169,15 +202,17 @@ def confirmed_spans(text: str) -> list[Span]:
         found += [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_pem_key(m[2])]
     if "eyJ" in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token_header(m[1])]
-    if BASE64_START.search(text):
-        for pattern, url_safe in ((BASE64, False), (BASE64_URL, True)):
-            taken = [(a, b) for a, b, _ in found]
+    if LONG_RUN.search(text):
+        for pattern, url_safe in ((BASE64_LINES, False), (BASE64, False), (BASE64_URL, True)):
+            taken = sorted((a, b) for a, b, _ in found)
+            starts = [a for a, _ in taken]
             for m in pattern.finditer(text):
-                if BASE64_START.match(m[0]) and not any(a <= m.start() < b for a, b in taken) and is_key(decoded(m[0], url_safe)):
+                at = bisect.bisect_right(starts, m.start()) - 1
+                if (at < 0 or taken[at][1] <= m.start()) and is_key(decoded(m[0], url_safe)):
                     found.append((m.start(), m.end(), "key"))
-    for m in HEX_KEY.finditer(text) if "30" in text else ():
-        if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "key"))
+        for m in HEX_RUN.finditer(text):
+            if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
+                found.append((m.start(), m.end(), "key"))
     return found
 
 

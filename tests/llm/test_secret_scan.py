@@ -20,7 +20,8 @@ def integer(size):
     return b"\x02" + (bytes([size]) if size < 128 else b"\x81" + bytes([size])) + body
 
 
-KEY = seq(b"\x02\x01\x00", integer(64), b"\x02\x03\x01\x00\x01", integer(60), integer(30))
+#: PKCS#1: the version, modulus, public and private exponent, two primes and three numbers made of them.
+KEY = seq(b"\x02\x01\x00", integer(64), b"\x02\x03\x01\x00\x01", integer(64), *[integer(32)] * 5)
 
 
 def b64(data, url=False):
@@ -59,8 +60,6 @@ def test_confirmed():
     for text, kind in ((pem, "key"), (TOKEN, "jwt"), (b64(KEY), "key"), (KEY.hex().upper(), "key")):
         spans = s.confirmed_spans(f"é see {text} end")
         assert spans == [(6, 6 + len(text), kind)], (text, spans)
-    ssh = b"\x00\x00\x00\x07ssh-rsa\x00\x00\x00\x03\x01\x00\x01\x00\x00\x00\x21" + b"\x02" * 33
-    assert [x[2] for x in s.confirmed_spans(b64(ssh))] == ["key"]
 
 
 ED25519 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(200, 232))
@@ -81,6 +80,45 @@ def pem(data, kind="PRIVATE KEY", end="\n", head=""):
     return f"-----BEGIN {kind}-----{end}{head}{lines(b64(data), end)}{end}-----END {kind}-----"
 
 
+ALGORITHM = seq(bytes.fromhex("06092a864886f70d010101"), b"\x05\x00")
+PKCS8 = seq(b"\x02\x01\x00", ALGORITHM, b"\x04\x82\x01\x00" + bytes(256))
+DSA = seq(b"\x02\x01\x00", *[integer(20)] * 5)
+#: Encrypted PKCS#8 under PBES2.
+ENCRYPTED = seq(seq(bytes.fromhex("06092a864886f70d01050d"), seq(ALGORITHM, ALGORITHM)), b"\x04\x40" + bytes(range(64)))
+NOT_KEYS = {
+    "public ssh blob": b"\x00\x00\x00\x07ssh-rsa\x00\x00\x00\x03\x01\x00\x01\x00\x00\x00\x21" + b"\x02" * 33,
+    "signature": seq(integer(32), integer(32)),
+    "certificate": seq(seq(b"\xa0\x03\x02\x01\x02", integer(8), ALGORITHM, seq(ALGORITHM)), ALGORITHM, b"\x03\x41\x00" + bytes(64)),
+    "public key": seq(ALGORITHM, b"\x03\x41\x00" + bytes(64)),
+    "public numbers": seq(integer(64), b"\x02\x03\x01\x00\x01"),
+    "digest info": seq(ALGORITHM, b"\x04\x20" + bytes(32)),
+    "deep": b"\x30\x80" * 300,
+}
+
+
+@pytest.mark.parametrize("name", NOT_KEYS)
+def test_what_is_not_secret_stays(name):
+    data = NOT_KEYS[name]
+    for text in (b64(data), b64(data, True), data.hex(), lines(b64(data)), pem(data)):
+        assert s.confirmed_spans(f"see {text} end") == [], name
+
+
+@pytest.mark.parametrize("data", [KEY, PKCS8, DSA, ENCRYPTED, ED25519, SEC1, openssh(b"none")])
+def test_kinds_of_keys(data):
+    for text in (b64(data), b64(data, True), data.hex(), data.hex().upper(), pem(data), pem(data, "A VERY LONG NAME OF SOME VENDOR FOR A PRIVATE KEY")):
+        assert s.confirmed_spans(f"é see {text} end") == [(6, 6 + len(text), "key")], text
+    bare = lines(b64(data))
+    if "\n" in bare:
+        assert s.confirmed_spans(f"see:\n{bare}\nend") == [(5, 5 + len(bare), "key")]
+
+
+def test_deep_nesting_is_parsed():
+    data = b"\x05\x00"
+    for _ in range(2_000):
+        data = seq(data)
+    assert s.der_fields(data) is not None and not s.is_der_key(data)
+
+
 LEGACY = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
 
 
