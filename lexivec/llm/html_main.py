@@ -1,15 +1,20 @@
 """Main text of HTML pages by site template removal.
 
-Every page is parsed into a tree. Block subtrees are hashed; Spark counts on how many pages of a host
-each hash stands; a subtree on many pages of its host is template and is deleted, as are elements that
-are never article by their tag, role or class. Text blocks inside an article or main element are template
-only where most distinct articles of the host have them, so that copied articles stay whole and sentences
-that some articles share stay in them; a table cell goes with its row or not at all. What is left
-of the article or main elements (of the body where there are none) is the main text, block by block.
+Every page is parsed into a tree. Spark counts per host on how many pages each block subtree stands, in two
+forms: as it is, by a hash of its tags, names and texts; and as a slot, by a hash of the tags and names on
+the way to it, with the words it holds. A subtree on many pages of its host is template, whatever its tag;
+so is a named or sectioning slot that most pages fill, each time with other words, but with little of the
+text of the host (adverts, menus, footers). Both are deleted first. Text blocks inside an article or main
+element are template only where most distinct articles of the host have them, so that copied articles
+stay whole and sentences that some articles share stay in them; a table cell goes with its row or not at
+all. Elements that are never article by their tag, role or whole class name go too, for hosts of few pages.
+Of what is left, the article or main elements (the body where there are none) are the main text, block by
+block.
 
 Defined cases: null html counts as empty and gives an empty text; markup cut off at the end of a page
-is dropped as browsers do, the text before it stays; a null url has the empty host; repeated rows are
-extracted alike and count once each; an empty table gives no rows; other columns are ignored.
+is dropped as browsers do, the text before it stays; a null url has the empty host; a very long or deeply
+nested page is parsed whole, without recursion; repeated rows are extracted alike and count once each; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,10 @@ MIN_SHARE = 0.2
 MIN_ARTICLES = 30
 #: A text block inside the article is template in this share of the distinct main texts of its host.
 TEXT_SHARE = 0.5
-#: Told apart from the same block outside an article by this in its hash.
+#: A slot is template on this share of the pages of its host, with at most that share of the host's words.
+SLOT_SHARE = 0.5
+SLOT_WORDS = 0.2
+#: Told apart from the same block outside an article, and from slots, by these in their hashes.
 WITHIN = 0x5555555555555555
 #: Template hashes that are broadcast at most (16 bytes each); more are joined by host.
 BROADCAST_ROWS = 500_000
@@ -53,38 +61,45 @@ NOT_ARTICLE = frozenset(
     " embed dialog menu title xmp noembed noframes".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|nav\w*|menu\w*|breadcrumbs?"
-    r"|sidebar|footer|comments?|disqus|respond|share|sharing|social|subscribe|newsletter|popup|modal|related|widget)(?:$|[\s_-])",
-    re.I,
+#: A class name or id says what is never article if all of its parts are here, one of them in the first line.
+TELLING = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr"
+    " notice nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer comment comments disqus respond share sharing"
+    " social subscribe newsletter popup modal related widget widgets".split()
 )
+BESIDE = frozenset(
+    "site page main global top bottom left right header primary secondary block box item items list wrapper container inner outer"
+    " content section area group bar link links button buttons form text post posts article articles reader user bio js".split()
+)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^\W\d_]+")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
-    """An element: ``children`` are strings and nodes."""
+    """An element: ``children`` are strings and nodes. ``annotate`` fills the last five."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "digest")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "digest", "slot", "words", "inside", "heads")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.names, self.role, self.hidden = tag, "", "", False
         self.children: list = []
-        self.digest: int | None = None
+        self.digest = self.slot = self.words = 0
+        self.inside = self.heads = False
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
-                value = "".join(values)
-                if name.lower() == "role":
+                name, value = name.lower(), "".join(values)
+                if name == "role":
                     self.role = value.strip().lower()
-                elif name.lower() in ("class", "id"):
+                elif name in ("class", "id"):
                     self.names += " " + value
-                else:
-                    self.hidden = self.hidden or name.lower() == "hidden" or value == "true"
+                elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                    self.hidden = True
 
 
 def parse(source: str) -> Node:
@@ -154,72 +169,119 @@ def _imply(open_: list[Node], tag: str) -> None:
                 break
 
 
-def digest(node: Node) -> int:
-    """Hash of a subtree: its tags, class names and texts with white space collapsed."""
-    if node.digest is None:
+def annotate(root: Node) -> list[Node]:
+    """The elements of a page in order, with their hashes, words and whether they are inside an article."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        inside = node.inside or is_root(node)
+        for c in reversed(node.children):
+            if not isinstance(c, str):
+                c.inside = inside
+                c.slot = xxhash.xxh64_intdigest(f"{node.slot}>{c.tag}{c.names}")
+                stack.append(c)
+    for node in reversed(order):
         parts = [node.tag, node.names]
-        parts += [" ".join(c.split()) if isinstance(c, str) else f"<{digest(c)}>" for c in node.children]
+        node.heads = node.tag == "h1"
+        for c in node.children:
+            if isinstance(c, str):
+                words = c.split()
+                node.words += len(words)
+                parts.append(" ".join(words))
+            else:
+                node.words += c.words if c.tag not in RAW else 0
+                node.heads = node.heads or c.heads
+                parts.append(f"<{c.digest}>")
         node.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - 2**63
-    return node.digest
+    return order
 
 
 def is_root(node: Node) -> bool:
     return node.tag in ("article", "main") or node.role in ("main", "article")
 
 
-def not_article(node: Node, inside: bool) -> bool:
+def says_beside(names: str) -> bool:
+    """Whether one of the class names or ids tells, as a whole, that an element is not article."""
+    for name in names.split():
+        parts = [p.lower() for p in NAME_PARTS.findall(name)]
+        if any(p in TELLING for p in parts) and all(p in TELLING or p in BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def not_article(node: Node) -> bool:
     """Whether an element is never part of the article, by what it says of itself."""
-    if node.tag in NOT_ARTICLE or node.role in ROLES or node.hidden or (node.tag == "header" and not inside):
+    if node.tag in NOT_ARTICLE or node.role in ROLES or node.hidden or (node.tag == "header" and not node.inside):
         return True
-    return bool(node.names) and node.tag not in ("html", "body", "main") and WORDS.search(node.names) is not None
+    return bool(node.names) and node.tag not in ("html", "body", "main") and says_beside(node.names)
 
 
-#: Kinds of rows that are counted: other blocks, text blocks outside and inside an article, whole pages.
-OTHER, TEXT, INSIDE, PAGE = range(4)
+#: Kinds of rows that are counted: other blocks, text blocks outside and inside an article, slots, whole pages.
+OTHER, TEXT, INSIDE, SLOT, PAGE = range(5)
 
 
-def block_kind(node: Node, inside: bool) -> int | None:
-    """How recurrence judges an element; None: not at all."""
-    if node.tag not in BLOCKS or node.tag in ("html", "body") or is_root(node) or (inside and node.tag == "hr"):
+def block_kind(node: Node) -> int | None:
+    """How recurrence judges an element as it is; None: not at all."""
+    if node.tag not in BLOCKS or node.tag in ("html", "body") or is_root(node) or (node.inside and node.tag == "hr"):
         return None
-    return OTHER if node.tag not in TEXT_BLOCKS else INSIDE if inside else TEXT
+    return OTHER if node.tag not in TEXT_BLOCKS else INSIDE if node.inside else TEXT
 
 
 def block_key(node: Node, kind: int) -> int:
-    return digest(node) ^ WITHIN if kind == INSIDE else digest(node)
+    return node.digest ^ WITHIN if kind == INSIDE else node.digest
 
 
-def judged(root: Node) -> dict[int, int]:
-    """Hashes of the subtrees of a page that recurrence may delete, and their kinds."""
-    found: dict[int, int] = {}
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        for c in node.children:
-            if isinstance(c, str):
-                continue
-            kind = block_kind(c, inside)
-            if kind is not None:
-                found[block_key(c, kind)] = kind
-            if c.tag not in RAW:
-                stack.append((c, inside or is_root(c)))
+def slot_key(node: Node) -> int | None:
+    """The hash of the slot that an element fills; None if it isn't judged as one.
+
+    Blocks with a name and sections have slots; those inside an article, or with its title, don't.
+    """
+    named = node.tag in BLOCKS and node.names and node.tag not in ("html", "body")
+    if node.inside or node.heads or not (named or node.tag in ("nav", "aside", "footer", "header", "form")):
+        return None
+    return (node.slot ^ (WITHIN << 1)) - 2**63
+
+
+def judged(order: list[Node]) -> dict[int, tuple[int, int]]:
+    """Hashes of what recurrence may delete from a page: their kinds, and the words of slots."""
+    found: dict[int, tuple[int, int]] = {}
+    for node in order:
+        kind = block_kind(node)
+        if kind is not None:
+            found[block_key(node, kind)] = kind, 0
+        slot = slot_key(node)
+        if slot is not None:
+            found[slot] = SLOT, found.get(slot, (SLOT, 0))[1] + node.words
     return found
 
 
-def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
-    """The blocks of the article that are left, one per line."""
-    def gone(node: Node, inside: bool) -> bool:
-        kind = block_kind(node, inside) if template else None
-        return (kind is not None and block_key(node, kind) in template) or not_article(node, inside)
+def main_text(root: Node, template: frozenset[int] | set[int], by_name: bool = True, by_root: bool = True) -> str:
+    """The blocks of the article that are left, one per line. ``root`` is annotated.
+
+    ``by_name`` and ``by_root`` switch off the rules beside recurrence, to see what that does alone.
+    """
+
+    def gone(node: Node) -> bool:
+        if template:
+            kind = block_kind(node)
+            if kind is not None and block_key(node, kind) in template:
+                return True
+            slot = slot_key(node)
+            if slot is not None and slot in template:
+                return True
+        return not_article(node) if by_name else node.tag in RAW or node.tag == "head"
 
     roots: list[Node] = []
     stack = [root]
-    while stack:
+    while stack and by_root:
         node = stack.pop()
-        if is_root(node) and not not_article(node, False):
+        if is_root(node):
             roots.append(node)
             continue
-        stack += [c for c in reversed(node.children) if not isinstance(c, str) and not gone(c, False)]
+        stack += [c for c in reversed(node.children) if not isinstance(c, str) and not gone(c)]
+    roots = [r for r in roots if not gone(r)]
+    starts = {id(r) for r in roots}
     inside = bool(roots)
     blocks: list[str] = []
     line: list[str] = []
@@ -237,7 +299,7 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
             flush()
         elif isinstance(item, str):
             line.append(item)
-        elif any(item is r for r in roots) or item is root or not gone(item, inside):
+        elif id(item) in starts or item is root or not gone(item):
             if item.tag in BLOCKS or item.tag == "#root":
                 flush()
                 work.append(flush)
@@ -250,33 +312,41 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
     return "\n".join(blocks)
 
 
-COUNTED = "host long, subtree long, kind int, article long"
+def parsed(page: str) -> tuple[Node, list[Node]]:
+    root = parse(page)
+    return root, annotate(root)
+
+
+COUNTED = "host long, subtree long, kind int, article long, words long"
 
 
 def _hash_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        rows: list[tuple[int, int, int, int]] = []
+        rows: list[tuple[int, int, int, int, int]] = []
         for host, page in zip(part.column("host").to_pylist(), part.column("html")):
-            root = parse(page.as_py())
+            root, order = parsed(page.as_py())
             article = xxhash.xxh64_intdigest(main_text(root, frozenset())) - 2**63
-            rows += [(host, key, kind, article) for key, kind in judged(root).items()]
-            rows.append((host, 0, PAGE, article))
-        columns = list(zip(*rows)) if rows else [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["host", "subtree", "kind", "article"])
+            rows += [(host, key, kind, 0 if kind == SLOT else article, words) for key, (kind, words) in judged(order).items()]
+            rows.append((host, 0, PAGE, article, root.words))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["host", "subtree", "kind", "article", "words"])
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree): what recurs on many pages of a host. ``pages`` has host (a hash) and html."""
-    by_article = pages.mapInArrow(_hash_batches, COUNTED).groupBy("host", "subtree", "kind", "article").agg(F.count("*").alias("n"))
-    counts = by_article.groupBy("host", "subtree", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("articles"))
+    words = F.sum("words").alias("words")
+    by_article = pages.mapInArrow(_hash_batches, COUNTED).groupBy("host", "subtree", "kind", "article").agg(F.count("*").alias("n"), words)
+    counts = by_article.groupBy("host", "subtree", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("articles"), words)
     counts = materialise(counts.where((F.col("n") >= min_pages) | (F.col("kind") == PAGE)), "subtree-counts")
-    sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"), F.col("articles").alias("texts"))
+    sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"), F.col("articles").alias("texts"), F.col("words").alias("whole"))
     often = counts.where(F.col("kind") != PAGE).join(sizes, "host")
     inside = (F.col("articles") >= min_pages) & (F.col("articles") >= F.col("texts") * TEXT_SHARE)
+    slot = (F.col("n") >= F.col("pages") * SLOT_SHARE) & (F.col("words") <= F.col("whole") * SLOT_WORDS)
     shared = F.col("n") >= F.col("pages") * min_share
     spread = (F.col("kind") == OTHER) & (F.col("articles") >= MIN_ARTICLES)
-    return often.where(F.when(F.col("kind") == INSIDE, inside).otherwise(shared | spread)).select("host", "subtree")
+    is_template = F.when(F.col("kind") == INSIDE, inside).when(F.col("kind") == SLOT, slot).otherwise(shared | spread)
+    return often.where(is_template).select("host", "subtree")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -289,7 +359,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     names = ["page_id", "url", "text", "n_chars"]
 
     def result(part: pa.RecordBatch, sets: Iterator[set[int]]) -> pa.RecordBatch:
-        texts = [main_text(parse(page.as_py()), own) for page, own in zip(part.column("html"), sets)]
+        texts = [main_text(parsed(page.as_py())[0], own) for page, own in zip(part.column("html"), sets)]
         columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays([*columns, pa.array(list(map(len, texts)), pa.int64())], names)
 
