@@ -3,50 +3,51 @@
 A line is the text between newlines, compared after white space is turned into single spaces and
 trimmed. Per line hash a HyperLogLog sketch of the sites (``source``) is merged by aggregation;
 lines whose estimate is near the threshold get an exact distinct count. A line on ``min_sites`` or
-more sites is cross-site boilerplate: it stays in the document with the smallest doc_id that has
-it and leaves all others. Empty lines are never judged, nor lines under ``min_words`` words: the stage of
-the pipeline sets no such floor, ``report`` has the one of its SQL unless told otherwise.
+more sites is cross-site boilerplate, however short: it stays in the document with the smallest doc_id
+that has it and leaves all others. Empty lines are never judged. Lines are told apart by 128 hash bits.
 
-Defined cases: null text counts as empty and stays null in the cleaned text; a null site is no site;
-an empty table gives no rows; rows with equal doc_id and text are cleaned alike; a line seen only
-under null doc_ids keeps every occurrence; other columns pass through untouched.
+Texts are not shuffled: the spread lines, if they are at most ``LISTED``, go into the expression that
+cleans a text. Beyond that the positions to drop are joined to the texts by a row key of 128 bits.
+
+Defined cases: null text counts as empty and stays null in the cleaned text; a null site is no site; a
+very long text is taken whole; an empty table gives no rows; rows with equal doc_id and text are cleaned
+alike; a line seen only under null doc_ids keeps every occurrence; other columns, whatever their names,
+pass through untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import ASCII_SPACE, text_of
-from lexivec.session import materialise
+from lexivec.session import discard, materialise
 
 MIN_SITES = 10
-MIN_WORDS = 5
 #: Of the threshold, to either side: 15 standard errors of a sketch with 2^12 registers.
 NEAR = 0.25
 SKETCH_BITS = 12
+#: Spread lines that go into an expression at most (48 bytes each).
+LISTED = 10_000
 
-LINES = "__lx_line"
-ROW = "__lx_row"
-GONE = "__lx_gone"
 
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, ASCII_SPACE, " "))
 
-def line_keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc_id, pos, source, k1, k2) of every line long enough to be judged; 128 hash bits."""
-    exploded = docs.select(
-        F.xxhash64("doc_id", "text").alias("row"),
-        "doc_id",
-        "source",
-        F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"),
-    )
-    norm = exploded.withColumn("line", F.trim(F.regexp_replace("line", ASCII_SPACE, " ")))
-    return norm.where((F.col("line") != "") & (F.size(F.split("line", " ")) >= min_words)).select(
-        "row", "doc_id", "pos", "source", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")
-    )
+
+def hash_pair(*columns: Column) -> tuple[Column, Column]:
+    return F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns)
+
+
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, k1, k2) of every line that isn't empty."""
+    lines = docs.select("doc_id", "source", F.explode(F.split(text_of(), "\n", -1)).alias("line"))
+    k1, k2 = hash_pair(F.col("line"))
+    return lines.withColumn("line", normal(F.col("line"))).where("line <> ''").select("doc_id", "source", k1.alias("k1"), k2.alias("k2"))
 
 
 def spread_lines(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(k1, k2, first): the lines on at least ``min_sites`` sites and the doc_id that keeps each."""
+    """(k1, k2, first), stored: the lines on at least ``min_sites`` sites and the doc_id that keeps each."""
     sketched = (
         keys.groupBy("k1", "k2")
         .agg(
@@ -71,44 +72,66 @@ def spread_lines(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .where(F.col("sites") >= min_sites)
         .select("k1", "k2", "first")
     )
-    return sure.unionByName(exact)
+    out = materialise(sure.unionByName(exact).where("first IS NOT NULL"), "spread-lines")
+    discard(found)
+    return out
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text cleaned, plus ``__lx_line`` and ``__lx_gone``: lines before, removed."""
-    keys = materialise(line_keys(docs, min_words), "line-keys")
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(doc, n_lines, kept): each row of ``docs`` as a struct, its lines' number and those that stay.
+
+    ``kept`` is null where all stay.
+    """
+    keys = materialise(line_keys(docs), "line-keys")
     spread = spread_lines(keys, min_sites)
-    gone = (
-        keys.join(spread, ["k1", "k2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
-        .groupBy("row")
-        .agg(F.collect_set("pos").alias("drop_at"))
-        .select(F.col("row").alias(ROW), F.col("drop_at").alias("__lx_at"))
-    )
-    lines = F.split(text_of(), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lx_at", i)), "\n")
-    joined = docs.withColumn(ROW, F.xxhash64("doc_id", "text")).join(gone, ROW, "left")
-    return joined.withColumns(
-        {
-            LINES: F.size(lines).cast("long"),
-            GONE: F.coalesce(F.size("__lx_at"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("__lx_at").isNull(), F.col("text")).otherwise(kept),
-        }
-    ).drop(ROW, "__lx_at")
-
-
-def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.split(text_of(), "\n", -1).alias("lines"), docs["doc_id"].alias("id"))
+    if spread.count() <= LISTED:
+        own1, own2 = hash_pair(F.col("k1"), F.col("k2"), F.col("first"))
+        listed = spread.select("k1", "k2", own1.alias("o1"), own2.alias("o2")).toPandas()
+        in1, in2, own1, own2 = (sorted(listed[c].tolist()) for c in ("k1", "k2", "o1", "o2"))
+
+        def stays(line: Column) -> Column:
+            k1, k2 = hash_pair(normal(line))
+            o1, o2 = hash_pair(k1, k2, F.col("id"))
+            return ~(k1.isin(in1) & k2.isin(in2)) | (o1.isin(own1) & o2.isin(own2))
+
+        kept = F.filter("lines", stays) if in1 else F.col("lines")
+        made = rows.select("doc", "lines", kept.alias("kept"))
+        whole = F.size("kept") == F.size("lines")
+    else:
+        r1, r2 = hash_pair(F.col("doc_id"), F.col("text"))
+        each = docs.select(r1.alias("r1"), r2.alias("r2"), "doc_id", F.posexplode(F.split(text_of(), "\n", -1)).alias("pos", "line"))
+        k1, k2 = hash_pair(normal(F.col("line")))
+        gone = (
+            each.withColumns({"k1": k1, "k2": k2})
+            .join(spread, ["k1", "k2"])
+            .where(~F.col("doc_id").eqNullSafe(F.col("first")))
+            .groupBy("r1", "r2")
+            .agg(F.collect_set("pos").alias("at"))
+        )
+        r1, r2 = hash_pair(F.col("id"), F.col("doc.text"))
+        met = rows.withColumns({"r1": r1, "r2": r2}).join(gone, ["r1", "r2"], "left")
+        made = met.select("doc", "lines", F.filter("lines", lambda x, i: ~F.array_contains("at", i)).alias("kept"), "at")
+        whole = F.col("at").isNull()
+    out = made.select("doc", F.size("lines").cast("long").alias("n_lines"), F.when(~whole, F.col("kept")).alias("kept"))
+    return out
+
+
+def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines, n_removed and the cleaned text of every document."""
-    own = docs.select("doc_id", "text", "source")
-    return line_dedup(own, min_words=min_words).select(
-        "doc_id", F.col(LINES).alias("n_lines"), F.col(GONE).alias("n_removed"), text_of().alias("text")
+    rows = cleaned(docs.select("doc_id", "text", "source"), min_sites)
+    removed = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept"))
+    return rows.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_lines",
+        removed.cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("kept", "\n"), F.col("doc.text"), F.lit("")).alias("text"),
     )
 
 
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """The documents with cleaned text and matching n_chars, in their own columns; lines of any length go."""
-    names = docs.columns
-    out = line_dedup(docs, min_words=1).drop(LINES, GONE)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*names)
+def dedup_stage(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The documents with cleaned text and matching n_chars, in their own columns."""
+    text = F.coalesce(F.array_join("kept", "\n"), F.col("doc.text"))
+    rows = cleaned(docs, min_sites).select("doc", text.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return rows.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
