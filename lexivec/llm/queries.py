@@ -49,10 +49,6 @@ def op8_url_reputation(spark, sf_dir):
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-def op8_url_reputation_shown(spark, sf_dir):
-    return url_reputation.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), shown=True)
-
-
 def op9_winnowing(spark, sf_dir):
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -61,10 +57,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-def op10_line_dedup_all(spark, sf_dir):
-    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=1)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,9 +68,7 @@ QUERIES = {
         op6_packing,
         op7_exact_dedup,
         op8_url_reputation,
-        op8_url_reputation_shown,
         op9_winnowing,
         op10_line_dedup,
-        op10_line_dedup_all,
     )
 }

@@ -94,7 +94,7 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 
 
 def test_reputation_shrinks(spark):
-    rows = [(i, f"http://bad.net/{i}") for i in range(40)] + [(100 + i, f"http://good.net/{i}") for i in range(40)] + [(200, "http://new.net/1"), (201, "http://one.net/1")]
+    rows = [(i, f"http://bad.net/{i}") for i in range(40)] + [(100 + i, f"http://good.net/{100 + i}") for i in range(40)] + [(200, "http://new.net/1000"), (201, "http://one.net/201")]
     labels = [(i, 0, 0) for i in range(40)] + [(100 + i, 1, 0) for i in range(40)] + [(201, 0, 0), (5, None, None), (None, 0, 1), (5, 0, 1)]
     got = {r["page_id"]: r for r in url_reputation.url_filter(pages(spark, *rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert got[0]["verdict"] == "block" and got[100]["verdict"] == "allow" and got[200]["verdict"] == "allow"
@@ -106,11 +106,58 @@ def test_outcome_of_the_shown_document(spark):
     ends = ["", "/", ".html", "?page=2", "#top"]
     rows = [(i, f"http://bad.net/en/{500 + i}{ends[i % 5]}") for i in range(40)]
     rows += [(500 + i, f"http://good.net/en/{i}{ends[i % 5]}") for i in range(40)]
-    rows += [(600, "http://bad.net/about"), (601, "http://none.net/en/x500"), (602, None)]
+    rows += [(600, "http://bad.net/about"), (601, "http://none.net/en/x500"), (602, None), (None, "http://bad.net/x" + "y" * 100_000), (600, "http://bad.net/about")]
     labels = spark.createDataFrame([(500 + i, 0, 0) for i in range(40)] + [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    got = {r["page_id"]: r for r in url_reputation.url_filter(pages(spark, *rows), labels, shown=True).collect()}
+    out = url_reputation.url_filter(pages(spark, *rows), labels).collect()
+    got = {r["page_id"]: r for r in out}
     assert all(got[i]["verdict"] == "block" and got[500 + i]["verdict"] == "allow" for i in range(40))
-    assert got[600]["verdict"] == "block" and got[601]["verdict"] == got[602]["verdict"] == "allow" and len(got) == len(rows)
+    assert got[600]["verdict"] == "block" and got[601]["verdict"] == got[602]["verdict"] == "allow" and len(out) == len(rows)
+    assert got[None]["verdict"] == "block" and len(got[None]["path"]) == 100_002
+
+
+def test_reputation_against_exact_posteriors(spark):
+    """Many hosts of many rates: the quantile against one by summing the density, blocked those over the base rate."""
+    r = np.random.default_rng(3)
+    rows, labels, counts = [], [], {}
+    for h in range(40):
+        n, rate = int(r.integers(1, 60)), float(r.choice([0.05, 0.2, 0.7]))
+        for i in range(n):
+            number = len(rows)
+            bad = int(r.random() < rate)
+            rows.append((number, f"http://h{h}.site.com/x/{number}"))
+            labels.append((number, 1 - bad, 0))
+            a, b = counts.get(f"h{h}.site.com", (0, 0))
+            counts[f"h{h}.site.com"] = a + 1, b + bad
+    parts = pages(spark, *rows).select(url_reputation.split_url(F.col("url"))[0].alias("host"), F.col("page_id").alias("shown"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hosts, base = url_reputation.host_table(parts, url_reputation.outcomes(table))
+    found = {x["host"]: x for x in hosts.collect()}
+    assert abs(base - sum(b for _, b in counts.values()) / len(rows)) < 0.01
+    grid = (np.arange(200_000) + 0.5) / 200_000
+    out = {x["host"]: x["verdict"] for x in url_reputation.url_filter(pages(spark, *rows), table, rules=()).collect()}
+    strength = None
+    for host, x in found.items():
+        n, bad = counts[host]
+        if strength is None:  # the mean is (prior * s + bad) / (s + n), with one prior and strength for all
+            others = [(found[o]["rate"], *counts[o]) for o in found if counts[o] != (n, bad)]
+            rate2, n2, bad2 = others[0]
+            a = np.array([[1, -x["rate"]], [1, -rate2]])
+            prior_s, strength = np.linalg.solve(a, [x["rate"] * n - bad, rate2 * n2 - bad2])
+        shape = x["rate"] * (strength + n), (1 - x["rate"]) * (strength + n)
+        density = np.exp((shape[0] - 1) * np.log(grid) + (shape[1] - 1) * np.log1p(-grid))
+        exact = grid[np.searchsorted(np.cumsum(density) / density.sum(), 0.05)]
+        assert abs(x["low"] - exact) < 0.02, (host, x["low"], exact, shape)
+        assert out[host] == ("block" if x["low"] >= base else "allow")
+    assert {"block", "allow"} == set(out.values())
+
+
+@pytest.mark.parametrize(
+    "host, suffix, domain",
+    [("www.a.co.uk", "co.uk", "a.co.uk"), ("a.co.uk", "co.uk", "a.co.uk"), ("x.y.example.com:8080", "com", "example.com"), ("u@b.example.org", "org", "example.org"),
+     ("10.0.0.1", "10.0.0.1", "10.0.0.1"), ("localhost", "localhost", "localhost"), ("", "", ""), ("shop.com.co", "com.co", "shop.com.co")],
+)
+def test_registered_domains(spark, host, suffix, domain):
+    assert tuple(spark.range(1).select(*url_reputation.registered(F.lit(host))).first()) == (suffix, domain)
 
 
 def picked(text, k=winnow.K, w=winnow.WINDOW):
@@ -167,32 +214,49 @@ def test_many_buckets_keep_the_order(docs, monkeypatch):
 LINE = "this line is on many sites"
 
 
-def test_line_dedup(docs):
-    rows = [(i, f"own text number {i} here ok\n{LINE if i % 2 else ' this  line is on many\tsites '}\nshort", f"s{i}") for i in range(12)]
-    rows += [(50, "only one site says this line", "s1")] * 12 + [(60, None, None), (61, "", "s1"), (None, LINE, "s2"), (62, LINE + "\n" + LINE, None)]
+@pytest.fixture(params=[10_000, 0])
+def listed(request, monkeypatch):
+    """Either way to clean the texts: spread lines in an expression, and by a join."""
+    monkeypatch.setattr(line_dedup, "LISTED", request.param)
+
+
+def test_line_dedup(docs, listed):
+    rows = [(i, f"own text number {i} here ok\n{LINE if i % 2 else ' this  line is on many\tsites '}\nsame", f"s{i % 9}") for i in range(12)]
+    rows += [(50, "only one site says this line", "s1")] * 12 + [(60, None, None), (61, "", "s1"), (None, LINE, "s11"), (62, LINE + "\n" + LINE, None)]
     out = line_dedup.report(docs(*rows))
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[0]["text"].split("\n")[1].strip() and got[0]["n_removed"] == 0
-    assert all(got[i]["text"] == f"own text number {i} here ok\nshort" for i in range(1, 12))
+    assert all(got[i]["text"] == f"own text number {i} here ok\nsame" for i in range(1, 12))
     assert got[50]["n_removed"] == 0 and got[60]["text"] == "" and got[61]["n_lines"] == 1
     assert got[62]["text"] == "" and got[62]["n_removed"] == 2 and got[None]["text"] == "" and out.count() == len(rows)
     stage = line_dedup.dedup_stage(docs(*rows))
     assert stage.columns == docs(*rows).columns and stage.count() == len(rows)
     assert all(r["n_chars"] == len(r["text"]) for r in stage.collect() if r["text"] is not None)
+    assert [r["text"] for r in stage.where("doc_id = 60").collect()] == [None]
     assert line_dedup.report(docs(*rows).limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("sites, gone", [(9, False), (10, True), (11, True)])
-def test_threshold_is_exact(docs, sites, gone):
+def test_threshold_is_exact(docs, listed, sites, gone):
     rows = [(i, LINE, f"s{i % sites}") for i in range(40)]
     got = line_dedup.report(docs(*rows)).where("doc_id > 0")
     assert {r["text"] == "" for r in got.collect()} == {gone}
 
 
-def test_short_lines_are_judged_by_their_sites(docs):
+def test_short_lines_are_judged_by_their_sites(docs, listed):
     few = "only here"
     rows = [(i, f"own {i}\n\n All  rights reserved.\nYes.\n{few if i < 9 else i}\n", f"s{i}") for i in range(12)]
     want = {i: f"own {i}\n\n{few if i < 9 else i}\n" for i in range(1, 12)} | {0: rows[0][1]}
-    for out in (line_dedup.dedup_stage(docs(*rows)), line_dedup.report(docs(*rows), min_words=1)):
+    for out in (line_dedup.dedup_stage(docs(*rows)), line_dedup.report(docs(*rows))):
         assert {r["doc_id"]: r["text"] for r in out.collect()} == want
-    assert all(r["n_removed"] == 0 for r in line_dedup.report(docs(*rows)).collect())
+
+
+def test_lines_with_clashing_columns_and_long_texts(docs, listed):
+    long = "\n".join(f"line {i}" for i in range(60_000))
+    table = docs(*[(i, f"{LINE}\n{i}", f"s{i}") for i in range(12)], (99, long, "s1"), (5, f"{LINE}\n5", "s5"), (None, None, None))
+    for name in ("__lx_line", "kept", "lines", "doc", "k1", "r1", "at", "first"):
+        table = table.withColumn(name, F.lit(name))
+    out = line_dedup.dedup_stage(table)
+    rows = out.collect()
+    assert out.columns == table.columns and len(rows) == 15 and all(r["kept"] == "kept" and r["at"] == "at" for r in rows)
+    assert sorted(r["text"] for r in rows if r["doc_id"] == 5) == ["5", "5"] and [r["text"] for r in rows if r["doc_id"] == 99] == [long]
