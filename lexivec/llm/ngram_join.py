@@ -16,9 +16,9 @@ what is left makes small clusters, in which shared tokens are counted. No bucket
 one task: see ``within_groups``.
 
 Defined cases: null text, and text without words, has an empty set and links with nothing; fewer than
-k words are one shingle; a null doc_id has component null and links with nothing; rows with the same
-doc_id count as linked; an empty table gives no rows; columns other than doc_id and text are ignored
-(by the stage: passed through).
+k words are one shingle; a very long text is taken whole; a null doc_id has component null and links with
+nothing (in the stage: see there); rows with the same doc_id count as linked; an empty table gives no rows;
+columns other than doc_id and text are ignored (by the stage: passed through).
 """
 
 from __future__ import annotations
@@ -51,6 +51,9 @@ PAIRS = 500_000
 #: Rows of ids that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURES_PER_TASK = 2_000_000
+#: Where the numbers of rows without a doc_id begin, and the column that has them.
+NO_ID = 2**62
+OWN = "__lx_own"
 
 #: What tells sets apart, and what a task of ``within_groups`` takes together.
 SET = ["n_shingles", "k1", "k2"]
@@ -343,8 +346,7 @@ def rarest(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
     Frequent tokens come last, by their counts; the others are ordered by hash.
     """
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = bounded(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(join)
 
     @tidy
@@ -673,9 +675,26 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
 
 
 def keep_one_stage(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without those that link, directly or over others, with a smaller doc_id."""
-    gone = join_components(docs, k, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    gone = materialise(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the rows without those that link, directly or over others, with a smaller doc_id.
+
+    A null doc_id counts as one above all others that follows from the text. Of the rows of one doc_id, one
+    stays: that of the least hash. Rows with an empty set all stay.
+    """
+    columns = docs.columns
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_of()), F.lit(2**61)))
+    marked = docs.withColumn(OWN, own)
+    found = materialise(join_components(marked.select(F.col(OWN).alias("doc_id"), "text"), k, num, den), "components")
+    gone = bounded(materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias(OWN)).distinct(), "gone"))
+    twice = found.where("component_id = doc_id AND n_shingles > 0").groupBy(F.col("doc_id").alias(OWN)).agg(F.count("*").alias("n"))
+    twice = materialise(twice.where("n > 1").select(OWN), "twice")
+    kept = marked.join(gone, OWN, "left_anti")
+    if twice.isEmpty():
+        return kept.select(*columns)
+    once = kept.join(bounded(twice), OWN, "left_anti").select(*columns)
+    rows = kept.join(bounded(twice), OWN, "left_semi").select(OWN, F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("order"))
+    return once.unionByName(rows.groupBy(OWN).agg(F.min_by("row", "order").alias("row")).select("row.*"))
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

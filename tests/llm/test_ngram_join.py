@@ -69,7 +69,17 @@ def test_edge_rows(docs):
     )
     assert j.join_components(docs((1, "a")).limit(0)).count() == 0
     kept = j.keep_one_stage(docs(*rows))
-    assert kept.columns == docs((1, "a")).columns and {r["doc_id"] for r in kept.collect()} == {None, 3, 7, 8, 9, 10, 12}
+    assert kept.columns == docs((1, "a")).columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 8, 9, 10, 12]
+
+
+def test_one_row_of_each_group_stays(docs, monkeypatch):
+    text, other = " ".join(words(30)), " ".join(words(40, 5))
+    rows = [(4, text), (4, text), (4, text + " x"), (None, text), (None, other), (None, other), (None, other + " y"), (8, None), (8, ""), (None, None), (None, "")]
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(j, "BROADCAST_ROWS", bound)
+        kept = [(r["doc_id"], r["text"]) for r in j.keep_one_stage(docs(*rows)).collect()]
+        assert sum(t in (None, "") for _, t in kept) == 4 and sum(i == 4 for i, _ in kept) == 1 and len(kept) == 6
+        assert [t in (other, other + " y") for i, t in kept if i is None and t] == [True]
 
 
 @pytest.mark.parametrize("rows, tokens, centres", [(4, 300, 2), (3, 10**6, 0), (256, 300, 24)])
