@@ -2,13 +2,14 @@
 
 Rows with a doc_id up to a pivot (the approximate median of the ids) are the history, the others
 are new. The distinct digests of the history go, in shards of bounded size, into minimal perfect
-hashes whose slots hold the full 32-byte digest and the winner's locator. Every distinct new digest
-is looked up and checked byte by byte; members join the group in the slot, nonmembers are grouped
-on their own. Nothing is dropped: each document comes back with its group.
-
-Defined cases: null text counts as empty; an empty table gives no rows; a null doc_id sorts last, so
-a group keeps a null id only if it has no other; of repeated rows (same doc_id and text) exactly one
-is kept; columns other than ``doc_id`` and ``text`` are ignored.
+hashes: bit arrays by level, whose slots hold the full 32-byte digest, the winner's id and locator and the
+group's size. They are stored, one row per shard, and can be probed again and again. Every distinct new
+digest is looked up in its shard and checked byte by byte; members join the group in the slot,
+nonmembers are grouped on their own. Nothing is dropped: each document comes back with its group.
+
+Defined cases: null text counts as empty; a very long text is digested whole; an empty table gives no
+rows; a null doc_id sorts last, so a group keeps a null id only if it has no other; of repeated rows (same
+doc_id and text) exactly one is kept; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import ASCII_SPACE, shuffle_partitions, text_of
-from lexivec.session import materialise
+from lexivec.session import discard, materialise
 
 #: Distinct digests in one shard, on average: what one task holds in memory (56 bytes each).
 SHARD_DIGESTS = 200_000
-LOAD = 2.0
-MAX_LEVELS = 48
+#: Cells of a level for each key that is left.
+LOAD = 1.5
+#: Levels after which it is checked that the keys left are distinct, as they must be to be parted.
+PATIENCE = 48
+#: A group that has more than this share of the rows is broadcast when rows meet their groups.
+HOT_SHARE = 0.001
 
-GROUPS = "digest binary, keep_id long, keep_row long, group_size long, historical boolean"
+GROUPS = "digest binary, keep_id long, keep_row long, group_size long"
+INDEX = "shard int, bits binary, digests binary, keep_id array<long>, keep_row array<long>, group_size array<long>"
 
 
 class MinimalPerfectHash:
@@ -35,25 +41,28 @@ class MinimalPerfectHash:
     Its slot is the rank of that bit among all set bits, so n keys fill slots 0..n-1.
     """
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, levels: list[tuple[int, np.ndarray]]):
+        """``levels``: the number of cells and the bits, as unsigned 64-bit words, of each level."""
+        self.levels = levels
+        counts = [np.bitwise_count(bits).astype(np.int64) for _, bits in levels]
+        base = np.cumsum([0, *(int(c.sum()) for c in counts)])
+        #: Set bits before each word, over all levels.
+        self.before = [np.cumsum(c) - c + b for c, b in zip(counts, base)]
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> MinimalPerfectHash:
         """``words``: distinct keys as an (n, 4) array of unsigned 64-bit words."""
-        self.levels: list[np.ndarray] = []
-        self.base: list[int] = []
-        left, filled = np.arange(len(words)), 0
-        self.slot_of = np.empty(len(words), np.int64)
+        levels: list[tuple[int, np.ndarray]] = []
+        left = words
         while len(left):
-            if len(self.levels) == MAX_LEVELS:
+            if len(levels) % PATIENCE == PATIENCE - 1 and len(np.unique(left, axis=0)) < len(left):
                 raise ValueError("keys are not distinct")
-            cells = max(2, int(len(left) * LOAD))
-            at = self._cell(words[left], len(self.levels), cells)
-            alone = np.bincount(at, minlength=cells) == 1
-            placed = alone[at]
-            rank = np.cumsum(alone) - 1
-            self.slot_of[left[placed]] = filled + rank[at[placed]]
-            self.levels.append(np.where(alone, rank, -1))
-            self.base.append(filled)
-            filled += int(placed.sum())
-            left = left[~placed]
+            cells = max(64, int(len(left) * LOAD))
+            at = cls._cell(left, len(levels), cells)
+            alone = np.bincount(at, minlength=-(-cells // 64) * 64) == 1
+            levels.append((cells, np.packbits(alone, bitorder="little").view(np.uint64)))
+            left = left[~alone[at]]
+        return cls(levels)
 
     @staticmethod
     def _cell(words: np.ndarray, level: int, cells: int) -> np.ndarray:
@@ -67,45 +76,73 @@ class MinimalPerfectHash:
         """The only slot each key can have; -1 where no level has its cell set."""
         out = np.full(len(words), -1, np.int64)
         left = np.arange(len(words))
-        for level, ranks in enumerate(self.levels):
+        for level, ((cells, bits), before) in enumerate(zip(self.levels, self.before)):
             if not len(left):
                 break
-            rank = ranks[self._cell(words[left], level, len(ranks))]
-            hit = rank >= 0
-            out[left[hit]] = self.base[level] + rank[hit]
+            at = self._cell(words[left], level, cells)
+            word, bit = bits[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[hit]] = (before[at >> 6] + below)[hit]
             left = left[~hit]
         return out
 
+    def to_bytes(self) -> bytes:
+        head = np.array([len(self.levels), *(cells for cells, _ in self.levels)], np.uint64)
+        return b"".join([head.tobytes(), *(bits.tobytes() for _, bits in self.levels)])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> MinimalPerfectHash:
+        words = np.frombuffer(data, np.uint64)
+        levels, at = [], 1 + int(words[0])
+        for cells in words[1:at].astype(np.int64).tolist():
+            n = -(-cells // 64)
+            levels.append((cells, words[at : at + n]))
+            at += n
+        return cls(levels)
+
 
 def _words(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 4)
 
 
-def _nullable(values: pd.Series) -> pd.Series:
-    return values.astype("Int64")
+def _nullable(values) -> pd.Series:
+    return pd.Series(values).astype("Int64")
 
 
-def _merge_shard(history: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+def _build(part: pd.DataFrame) -> pd.DataFrame:
+    """One shard's row of the index."""
+    words = _words(part["digest"])
+    index = MinimalPerfectHash.of(words)
+    order = np.argsort(index.lookup(words))
+    own = part.iloc[order]
+    lists = {c: [[None if pd.isna(x) else int(x) for x in own[c]]] for c in ("keep_id", "keep_row", "group_size")}
+    return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "bits": [index.to_bytes()], "digests": [words[order].tobytes()], **lists})
+
+
+def _probe(fresh: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
     """The groups of one shard: the slots with what they gained, then the nonmembers."""
-    slots = history
     member = np.zeros(len(fresh), bool)
-    if len(history):
-        words = _words(history["digest"])
-        index = MinimalPerfectHash(words)
-        order = np.empty(len(history), np.int64)
-        order[index.slot_of] = np.arange(len(history))
-        slots, held = history.iloc[order].reset_index(drop=True), words[order]
-        size = slots["group_size"].to_numpy(np.int64).copy()
+    parts = []
+    if len(stored):
+        row = stored.iloc[0]
+        held = np.frombuffer(row["digests"], np.uint64).reshape(-1, 4)
+        size = np.array(row["group_size"], np.int64)
         if len(fresh):
-            probe = _words(fresh["digest"])
-            at = index.lookup(probe)
-            member = (at >= 0) & (held[np.maximum(at, 0)] == probe).all(axis=1)
+            keys = _words(fresh["digest"])
+            at = MinimalPerfectHash.from_bytes(row["bits"]).lookup(keys)
+            member = (at >= 0) & (held[np.maximum(at, 0)] == keys).all(axis=1)
             np.add.at(size, at[member], fresh["group_size"].to_numpy(np.int64)[member])
-        slots["group_size"] = size
-    out = pd.concat([p for p in (slots, fresh[~member]) if len(p)], ignore_index=True)
+        raw = row["digests"]
+        digest = [raw[i : i + 32] for i in range(0, len(raw), 32)]
+        ids, rows = (_nullable(list(row[c])) for c in ("keep_id", "keep_row"))
+        parts.append(pd.DataFrame({"digest": digest, "keep_id": ids, "keep_row": rows, "group_size": size}))
+    if len(fresh):
+        parts.append(fresh.loc[~member, ["digest", "keep_id", "keep_row", "group_size"]])
+    out = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
     for name in ("keep_id", "keep_row", "group_size"):
         out[name] = _nullable(out[name])
-    return out[["digest", "keep_id", "keep_row", "group_size", "historical"]]
+    return out
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -126,30 +163,46 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """One row per distinct digest: the winner, the size and whether history had it."""
-    repeats = rows.groupBy("digest", "doc_id").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
-    pivot = rows.agg(F.percentile_approx("doc_id", 0.5), F.count("*")).first()
-    middle = pivot[0] if pivot[0] is not None else -1
-    old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
-    shards = max(shuffle_partitions(rows.sparkSession), -(-pivot[1] // SHARD_DIGESTS))
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
-    history = _grouped(repeats.where(old)).withColumn("historical", F.lit(True))
-    fresh = _grouped(repeats.where(~old)).withColumn("historical", F.lit(False))
-    both = history.unionByName(fresh).withColumn("shard", shard)
+def _sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """The groups of some rows (digest, doc_id, first_row, n), and the shard of each."""
+    return _grouped(rows).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop(columns="shard").reset_index(drop=True)
-        return _merge_shard(part[part["historical"]].reset_index(drop=True), part[~part["historical"]])
+def build_index(rows: DataFrame, shards: int) -> DataFrame:
+    """The stored index of historical rows, one row per shard. See ``digests`` for the rows."""
+    return materialise(_sharded(_repeats(rows), shards).groupBy("shard").applyInPandas(_build, INDEX), "perfect-hash")
 
-    return both.groupBy("shard").applyInPandas(merge, GROUPS)
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest", "doc_id").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
+
+
+def probe(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """One row per distinct digest of the index or the new rows: the winner and the size of its group."""
+    fresh = _sharded(_repeats(rows), shards)
+    both = fresh.groupBy("shard").cogroup(index.groupBy("shard"))
+    return both.applyInPandas(_probe, GROUPS)
+
+
+def groups(rows: DataFrame) -> tuple[DataFrame, int]:
+    """One row per distinct digest, stored, and the number of all rows."""
+    middle, total = rows.agg(F.percentile_approx("doc_id", 0.5), F.count("*")).first()
+    old = F.coalesce(F.col("doc_id") <= F.lit(middle if middle is not None else -1), F.lit(False))
+    shards = max(shuffle_partitions(rows.sparkSession), -(-total // SHARD_DIGESTS))
+    index = build_index(rows.where(old), shards)
+    found = materialise(probe(rows.where(~old), index, shards), "groups")
+    discard(index)
+    return found, total
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document."""
     rows = materialise(digests(docs), "digests")
-    found = groups(rows)
-    joined = rows.join(found, "digest", "left")
+    found, total = groups(rows)
+    # Fewer groups than 1 / HOT_SHARE can have that share of the rows; the others have no key that skews a join.
+    is_hot = F.col("group_size") > max(1.0, total * HOT_SHARE)
+    hot, cold = F.broadcast(found.where(is_hot)), found.where(~is_hot)
+    joined = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(cold, "digest"))
     return joined.select(
         "doc_id",
         "keep_id",
@@ -157,4 +210,3 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
-
