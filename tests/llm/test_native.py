@@ -38,17 +38,38 @@ def test_no_python_on_the_main_path(spark, name):
 def test_perfect_hash_is_minimal_and_checks_bytes():
     r = np.random.default_rng(0)
     keys = r.integers(0, 2**63, (5000, 4)).astype(np.uint64)
-    index = exact_dedup.MinimalPerfectHash(keys)
-    assert sorted(index.slot_of.tolist()) == list(range(5000))
-    assert (index.lookup(keys) == index.slot_of).all()
+    index = exact_dedup.MinimalPerfectHash.of(keys)
+    assert sorted(index.lookup(keys).tolist()) == list(range(5000))
+    again = exact_dedup.MinimalPerfectHash.from_bytes(index.to_bytes())
+    assert (again.lookup(keys) == index.lookup(keys)).all() and len(index.to_bytes()) < 5000
     others = r.integers(0, 2**63, (5000, 4)).astype(np.uint64)
     held = np.empty_like(keys)
-    held[index.slot_of] = keys
+    held[index.lookup(keys)] = keys
     at = index.lookup(others)
     assert not ((at >= 0) & (held[np.maximum(at, 0)] == others).all(axis=1)).any()
-    assert exact_dedup.MinimalPerfectHash(keys[:1]).lookup(keys[:1]).tolist() == [0]
+    assert exact_dedup.MinimalPerfectHash.of(keys[:1]).lookup(keys[:1]).tolist() == [0]
+    assert exact_dedup.MinimalPerfectHash.of(keys[:0]).lookup(keys[:2]).tolist() == [-1, -1]
     with pytest.raises(ValueError):
-        exact_dedup.MinimalPerfectHash(keys[[1, 1]])
+        exact_dedup.MinimalPerfectHash.of(keys[[1, 1]])
+
+
+def test_an_index_is_probed_again(docs):
+    old = exact_dedup.digests(docs((1, "a"), (2, "b"), (3, "a")))
+    index = exact_dedup.build_index(old, 3)
+    for rows, want in (([(8, "a"), (9, "c")], {("1", 3), ("2", 1), ("9", 1)}), ([(7, "b"), (7, "b")], {("1", 2), ("2", 3)}), ([], {("1", 2), ("2", 1)})):
+        new = exact_dedup.digests(docs(*rows) if rows else docs((1, "a")).limit(0))
+        assert {(str(r["keep_id"]), r["group_size"]) for r in exact_dedup.probe(new, index, 3).collect()} == want
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.3])
+def test_hot_groups_and_others(docs, monkeypatch, share):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+    rows = [(i, "copy" if i % 3 == 0 else f"own {i // 4}") for i in range(90)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs(*rows)).collect()}
+    members = {}
+    for i, t in rows:
+        members.setdefault(t, []).append(i)
+    assert got == {i: (members[t][0], len(members[t]), i == members[t][0]) for i, t in rows}
 
 
 def test_exact_dedup_edges(docs):
@@ -211,6 +232,33 @@ def test_many_buckets_keep_the_order(docs, monkeypatch):
         assert rows[a]["edited_sha256"] == hashlib.sha256(f"{a:04d}{b:04d}".encode()).hexdigest()
 
 
+@pytest.mark.parametrize("coarse, chars", [(8, 1), (8, 40), (128, 32_000_000)])
+def test_every_row_against_a_plain_version(spark, docs, monkeypatch, coarse, chars):
+    """Edited texts, both fingerprints and both likenesses, with one id and one text on very many rows."""
+    monkeypatch.setattr(winnow, "COARSE", coarse)
+    monkeypatch.setattr(winnow, "BUCKET_CHARS", chars)
+    rows = [(5, " ".join(words(n % 30, n))) for n in range(60)] + [(5, "one text of many copies")] * 60
+    rows += [(i, " ".join(words(9 + i, i))) for i in range(20)] + [(None, f"no id {i % 3}") for i in range(12)] + [(7, None)]
+    table = docs(*rows)
+    hashed = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.shiftright(F.xxhash64("text"), winnow.COPY_BITS)).collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -(2**63), r["h"]), reverse=True)
+    texts = [r["text"] for r in order]
+    plain = []
+    for mine, after in zip(texts, texts[1:] + texts[:1]):
+        half = len(mine) // 2
+        plain.append((mine, mine[: len(mine) - half] + after[:half], after))
+    every = sorted({t for x in plain for t in x})
+    prints = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in every], "t string").select("t", winnow.as_text(winnow.chosen(F.col("t"))).alias("p")).collect()}
+    sets = {t: {x.split(":")[0] for x in p.split()} for t, p in prints.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+    want = [
+        (r["doc_id"], len(a), hashlib.sha256(e.encode()).hexdigest(), prints[a], prints[e], round(like(a, e), 9), round(like(a, b), 9))
+        for r, (a, e, b) in zip(order, plain)
+    ]
+    got = [(r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in winnow.fingerprints(table).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 LINE = "this line is on many sites"
 
 
