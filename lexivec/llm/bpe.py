@@ -37,7 +37,7 @@ LEAF = 24
 #: Characters of a text that are cut into pieces in one go; longer texts are halved.
 LEAF_TEXT = 8_192
 #: Distinct pieces that a worker remembers, about 200 bytes each; when there are more it begins anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Pieces that one call encodes together.
 TOGETHER = 2_000
 
@@ -57,9 +57,8 @@ class Codec:
         #: Encoders of a run's inside and of its end; neither splits nor normalises.
         self.inside = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
         self.end = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
-        #: The same for several runs with a space between.
-        self.runs = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
-        self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: It takes several runs with a space between; runs have none in them.
+        self.end.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
@@ -150,7 +149,7 @@ class Codec:
         plain = np.fromiter((len(p) <= self.leaf and PLAIN(p) is not None for p in pieces), bool, len(pieces))
         ready = [byte_level(pieces[i].lower()) for i in np.flatnonzero(plain).tolist()]
         joined = [" ".join(ready[i : i + TOGETHER]) for i in range(0, len(ready), TOGETHER)]
-        ids = [np.array(e.ids, "<u4") for e in self.runs.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = [np.array(e.ids, "<u4") for e in self.end.encode_batch_fast(joined, add_special_tokens=False)]
         easy = np.concatenate([np.empty(0, "<u4"), *ids])
         ends = np.flatnonzero(self.ends[easy])
         if len(ends) != len(ready):  # a vocabulary that doesn't mark the ends of runs

@@ -50,7 +50,7 @@ CENTRES = 24
 PAIRS = 500_000
 #: Rows of ids that are broadcast at most (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SIGNATURES_PER_TASK = 2_000_000
+SIGNATURES_PER_TASK = 1_000_000
 #: Where the numbers of rows without a doc_id begin, and the column that has them.
 NO_ID = 2**62
 OWN = "__lx_own"

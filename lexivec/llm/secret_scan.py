@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import text_of
+from lexivec.llm.common import slices, text_of, tidy
 
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -232,8 +232,9 @@ def scan(text: str | None) -> tuple[int, int, int, str, str, int]:
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
 
+@tidy
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         rows = [scan(t.as_py()) for t in batch.column("text")]
         columns = list(zip(*rows)) if rows else [[]] * 6
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
@@ -268,8 +269,9 @@ def redact_stage(docs: DataFrame) -> DataFrame:
     """The documents with their secrets taken out and n_chars to match; no document goes."""
     names, schema = docs.columns, docs.schema
 
+    @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in (x for whole in parts for x in slices(whole)):
             text = pa.array([redact(t.as_py()) for t in batch.column("text")], pa.string())
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, pa.field("text", pa.string()), text)

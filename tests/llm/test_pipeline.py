@@ -24,7 +24,7 @@ def plain_line_dedup(rows):
     for r in rows:
         for line in r["text"].split("\n"):
             key = norm(line)
-            if len(key.split(" ")) >= line_dedup.MIN_WORDS:
+            if key:
                 sites[key].add(r["source"])
                 first[key] = min(first.get(key, r["doc_id"]), r["doc_id"])
     spread = {k for k, s in sites.items() if len(s) >= line_dedup.MIN_SITES}
