@@ -8,7 +8,7 @@ a segment may also be indexed with its one-deletion neighbourhood and then stand
 allocation per band, how many segments and how many with neighbourhoods, minimises rows and expected
 collisions given how many documents the band holds. Segments that hold nothing but tokens of many
 documents (or nothing at all) say little: the allocation leaves c segments to spare, and a set doesn't
-index the first c such segments in an order by what they hold. Agreeing segments have the same place in
+index its c commonest segments, in an order by what they hold. Agreeing segments have the same place in
 that order, so two sets together leave out at most c of those on which they agree, and none is missed.
 
 Sets with a common signature are compared by sketches whose bits never differ more than the sets do;
@@ -40,7 +40,9 @@ from lexivec.session import discard, materialise
 
 #: A token is frequent if at least this share of the documents has it; at most (mean set size)/share
 #: tokens can be, so their list has a bound that doesn't grow with the corpus.
-FREQUENT = 0.002
+FREQUENT = 0.0002
+#: Tokens that a task counts together to find the frequent ones.
+COUNTED = 2_000_000
 #: Members and tokens of a group that one task takes; larger groups are dealt in parts.
 GROUP_ROWS = 256
 GROUP_TOKENS = 2_000_000
@@ -118,6 +120,13 @@ class Join:
     frequent: np.ndarray
     often: np.ndarray
 
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How many documents have each token, as far as it is frequent; else 0."""
+        out = np.zeros(len(tokens), np.int64)
+        held = among(tokens, self.frequent)
+        out[held] = self.often[np.searchsorted(self.frequent, tokens[held])]
+        return out
+
     def differences(self, total: int) -> int:
         """The most tokens in which sets of so many tokens together may differ and still link."""
         return total * (self.den - self.num) // (self.den + self.num)
@@ -147,14 +156,17 @@ def allocate(number: int, low: int, high: int, documents: int, num: int, den: in
         for _ in range(4):
             units = most + 1 + spare
             segments = max(1, math.ceil(units / (1 + share)))
-            bare = segments * (1 - share) * math.exp(-0.9 * low / segments)
+            bare = segments * (1 - share) * math.exp(-0.5 * low / segments)
             spare = math.ceil(bare + 3 * math.sqrt(bare) + 0.02 * most) if share < 1 else 0
         units = most + 1 + spare
         segments = max(1, math.ceil(units / (1 + share)))
         deletions = units - segments
         x = 0.8 * low / segments
         chance = (segments - deletions) * math.exp(-2 * x) + deletions * (math.exp(-x) * (1 + x)) ** 2
-        total = (segments - deletions) + deletions * (1 + size / segments) + documents * FREQUENT * chance
+        # With a token or none, a segment's neighbourhood is that of any other such set.
+        y = low / segments
+        empty = deletions * (math.exp(-y) * (1 + y)) ** 2
+        total = (segments - deletions - spare) + deletions * (1 + size / segments) + documents * (FREQUENT * chance + empty)
         if total < cost:
             best, cost = Band(number, low, high, segments, deletions, spare), total
     return best
@@ -171,7 +183,7 @@ def signatures(tokens: np.ndarray, join: Join) -> np.ndarray:
     """The signatures of one set in its band and, where it may link upwards, in the next."""
     size = len(tokens)
     out = []
-    heavy = among(tokens, join.frequent)
+    often = join.counts(tokens)
     largest = size * join.den // join.num
     weight = mix(tokens ^ U(0xA0761D6478BD642F))
     for band in join.bands:
@@ -189,13 +201,12 @@ def signatures(tokens: np.ndarray, join: Join) -> np.ndarray:
         sums = np.zeros(band.segments, np.uint64)
         full = counts > 0
         sums[full] = np.add.reduceat(w, (np.cumsum(counts) - counts)[full])
-        bare = np.bincount(segment, ~heavy[order], minlength=band.segments) == 0
-        bare[: band.deletions] = False
-        bare[used:] = False
+        # The commonest segments are left out: by the rarest token of each, then by what they hold.
+        rarest = np.full(band.segments, np.iinfo(np.int64).max)
+        rarest[full] = np.minimum.reduceat(often[order], (np.cumsum(counts) - counts)[full])
+        own = np.arange(band.deletions, used)
+        common = own[np.lexsort((sums[own], -rarest[own]))[: band.spare]]
         keep = np.arange(band.segments) < used
-        common = np.flatnonzero(bare)
-        if len(common) > band.spare:
-            common = common[np.argsort(sums[common], kind="stable")[: band.spare]]
         keep[common] = False
         base = mix(np.arange(band.segments, dtype=np.uint64) * U(0xE7037ED1A0B428DB) + seed)
         out.append(mix(sums[keep] + base[keep]))
@@ -212,25 +223,39 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
-    """The cuts for all documents: counts per band and the frequent tokens, summed over batches.
+    """The cuts for all documents: counts per band and the frequent tokens, summed over parts.
 
-    A batch reports tokens that a ``FREQUENT`` share of its documents has; what is frequent overall
-    is so in some batch. Which tokens count as frequent changes the cost, never the result.
+    A part of ``COUNTED`` tokens reports those that a ``FREQUENT`` share of its documents has, three at
+    least; what is frequent overall is so in some part. Which tokens count as frequent changes the
+    cost, never the result.
     """
     edges = band_edges(num, den)
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.bincount(np.searchsorted(edges, [len(s) for s in sets], side="right") - 1, minlength=1)
+        band = np.flatnonzero(at)
+        tokens = np.concatenate(sets)
+        tokens.sort()
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        n = np.diff(np.append(start, len(tokens)))
+        often = n >= max(3, len(sets) * FREQUENT)
+        kind = np.repeat([0, 1], [len(band), often.sum()])
+        key = np.concatenate([band, tokens[start[often]].view(np.int64)])
+        count = np.concatenate([at[band], n[often]])
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kind, key, count)], ["kind", "key", "n"])
+
     @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        held = 0
         for part in (x for whole in parts for x in slices(whole)):
-            sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
-            at = np.bincount(np.searchsorted(edges, [len(s) for s in sets], side="right") - 1, minlength=1)
-            band = np.flatnonzero(at)
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), band[:0])
-            often = n >= max(3, len(sets) * FREQUENT)
-            kind = np.repeat([0, 1], [len(band), often.sum()])
-            key = np.concatenate([band, tokens[often].view(np.int64)])
-            count = np.concatenate([at[band], n[often]])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kind, key, count)], ["kind", "key", "n"])
+            sets += [s for s in shingle_sets(part.column("text"), k) if len(s)]
+            held = sum(map(len, sets))
+            if held >= COUNTED:
+                yield counted(sets)
+                sets, held = [], 0
+        if held:
+            yield counted(sets)
 
     found = _own(docs).mapInArrow(batches, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     found = materialise(found, "statistics")
@@ -355,10 +380,7 @@ def rarest(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
         for part in (x for whole in parts for x in slices(whole)):
             lists = []
             for tokens in shingle_sets(part.column("text"), own.k):
-                often = np.zeros(len(tokens), np.int64)
-                held = among(tokens, own.frequent)
-                often[held] = own.often[np.searchsorted(own.frequent, tokens[held])]
-                first = np.lexsort((mix(tokens ^ U(0x8EBC6AF09C88C6E3)), often))
+                first = np.lexsort((mix(tokens ^ U(0x8EBC6AF09C88C6E3)), own.counts(tokens)))
                 most = len(tokens) - -(-own.num * len(tokens) // own.den) + 1
                 lists.append(tokens[first[:most]].view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "signatures"])
@@ -530,7 +552,8 @@ def sketch_edges(found: DataFrame, classes: DataFrame, join: Join) -> Callable[[
 
     def edges_of(rows: DataFrame) -> DataFrame:
         full = rows.join(one, "doc_id").select(*KEYS, "side", "doc_id", "n_shingles", "sketch")
-        return full.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(batches, "a long, b long")
+        # By doc_id, too: the groups of the same copies then give the same edges, to the least.
+        return full.repartition(*KEYS).sortWithinPartitions(*KEYS, "doc_id").mapInArrow(batches, "a long, b long")
 
     return edges_of
 
