@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -27,10 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from lexivec.llm.common import slices, text_of, tidy
 
+#: Threads that encode in one worker, of which a machine has many; each keeps memory of its own.
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
+
 VOCABULARY = "word_bpe_49k.json"
 #: Characters (bytes in the byte-level alphabet) of an unsplit run that is encoded in one piece.
 LEAF = 24
@@ -38,8 +43,11 @@ LEAF = 24
 LEAF_TEXT = 8_192
 #: Distinct pieces that a worker remembers, about 200 bytes each; when there are more it begins anew.
 REMEMBERED = 120_000
-#: Pieces that one call encodes together.
+#: Bytes of text that a worker encodes at a time; a longer text comes alone, and whole.
+ENCODED_BYTES = 1_500_000
+#: Pieces that are encoded together, and how many times so many one call takes.
 TOGETHER = 2_000
+CALLS = 4
 
 
 class Codec:
@@ -49,21 +57,18 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: Encoders of a run's inside and of its end; neither splits nor normalises.
-        self.inside = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
-        self.end = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None))
-        #: It takes several runs with a space between; runs have none in them.
+        #: Encodes runs, whose ends it marks; it neither normalises them nor splits them but at a space.
+        self.end = Tokenizer.from_file(path)
+        self.end.no_truncation()
+        self.end.no_padding()
+        self.end.normalizer = normalizers.Sequence([])
         self.end.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.path, self.suffix = path, self.end.model.end_of_word_suffix or ""
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        size = max([*model["vocab"].values(), *self.special.values()]) + 1
-        self.token = [""] * size
-        for text, i in [*model["vocab"].items(), *self.special.items()]:
+        numbered = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token = [""] * (max(numbered.values()) + 1)
+        for text, i in numbered.items():
             self.token[i] = text
         #: Whether a token ends a run.
         self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.token])
@@ -72,6 +77,14 @@ class Codec:
         self.joins = 0
         self.forget()
 
+    @cached_property
+    def inside(self) -> Tokenizer:
+        """Encodes the inside of runs; made only where a run is long."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+
     def text_of_token(self, i: int, last: bool) -> str:
         text = self.token[i]
         return text.removesuffix(self.suffix) if last and self.suffix else text
@@ -149,7 +162,12 @@ class Codec:
         plain = np.fromiter((len(p) <= self.leaf and PLAIN(p) is not None for p in pieces), bool, len(pieces))
         ready = [byte_level(pieces[i].lower()) for i in np.flatnonzero(plain).tolist()]
         joined = [" ".join(ready[i : i + TOGETHER]) for i in range(0, len(ready), TOGETHER)]
-        ids = [np.array(e.ids, "<u4") for e in self.end.encode_batch_fast(joined, add_special_tokens=False)]
+        # A few at a time: the library's encodings hold much beside the ids.
+        ids = [
+            np.array(e.ids, "<u4")
+            for i in range(0, len(joined), CALLS)
+            for e in self.end.encode_batch_fast(joined[i : i + CALLS], add_special_tokens=False)
+        ]
         easy = np.concatenate([np.empty(0, "<u4"), *ids])
         ends = np.flatnonzero(self.ends[easy])
         if len(ends) != len(ready):  # a vocabulary that doesn't mark the ends of runs
@@ -157,7 +175,10 @@ class Codec:
             easy, ends = np.array([i for x in own for i in x], "<u4"), np.cumsum(list(map(len, own)), dtype=np.int64) - 1
         others = np.flatnonzero(~plain).tolist()
         short = [i for i in others if len(pieces[i]) <= self.leaf]
-        found = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in short], add_special_tokens=False))))
+        found = {}
+        for a in range(0, len(short), TOGETHER):
+            own = short[a : a + TOGETHER]
+            found |= zip(own, [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in own], add_special_tokens=False)])
         found |= {i: self.long_piece(pieces[i]) for i in others if i not in found}
         size = np.zeros(len(pieces), np.int64)
         size[plain] = np.diff(np.append(-1, ends))
@@ -280,7 +301,7 @@ _CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def codec(path: str, leaf: int = LEAF) -> Codec:
-    """One codec per worker process and vocabulary."""
+    """One codec per process and vocabulary."""
     if (path, leaf) not in _CODECS:
         _CODECS[path, leaf] = Codec(path, leaf)
     return _CODECS[path, leaf]
@@ -300,7 +321,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> D
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary), leaf)
         digits, tokens = [b"%d" % i for i in range(len(own.token))], [t.encode() for t in own.token]
-        for part in (x for whole in parts for x in slices(whole)):
+        for part in (x for whole in parts for x in slices(whole, most=ENCODED_BYTES)):
             coded = own.batch(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -322,7 +343,7 @@ def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary))
-        for part in (x for whole in parts for x in slices(whole)):
+        for part in (x for whole in parts for x in slices(whole, most=ENCODED_BYTES)):
             ids = [x.astype(np.int32) for x in own.batch(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -42,7 +42,7 @@ from lexivec.session import discard, materialise
 #: tokens can be, so their list has a bound that doesn't grow with the corpus.
 FREQUENT = 0.0002
 #: Tokens that a task counts together to find the frequent ones.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 #: Members and tokens of a group that one task takes; larger groups are dealt in parts.
 GROUP_ROWS = 256
 GROUP_TOKENS = 2_000_000
@@ -234,11 +234,12 @@ def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         at = np.bincount(np.searchsorted(edges, [len(s) for s in sets], side="right") - 1, minlength=1)
         band = np.flatnonzero(at)
-        tokens = np.concatenate(sets)
+        tokens, total = np.concatenate(sets), len(sets)
+        sets.clear()
         tokens.sort()
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         n = np.diff(np.append(start, len(tokens)))
-        often = n >= max(3, len(sets) * FREQUENT)
+        often = n >= max(3, total * FREQUENT)
         kind = np.repeat([0, 1], [len(band), often.sum()])
         key = np.concatenate([band, tokens[start[often]].view(np.int64)])
         count = np.concatenate([at[band], n[often]])
@@ -253,7 +254,7 @@ def statistics(docs: DataFrame, k: int, num: int, den: int) -> Join:
             held = sum(map(len, sets))
             if held >= COUNTED:
                 yield counted(sets)
-                sets, held = [], 0
+                held = 0
         if held:
             yield counted(sets)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.bpe import VOCABULARY, codec, vocabulary_path
+from lexivec.llm.bpe import ENCODED_BYTES, VOCABULARY, codec, vocabulary_path
 from lexivec.llm.common import shuffle_partitions, slices, text_of, tidy
 from lexivec.session import materialise
 
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     @tidy
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary_path(vocabulary))
-        for part in (x for whole in parts for x in slices(whole)):
+        for part in (x for whole in parts for x in slices(whole, most=ENCODED_BYTES)):
             doc, number, start, length, crc = [], [], [], [], []
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.batch(part.column("text"))):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
