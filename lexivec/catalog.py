@@ -6,6 +6,7 @@ The driver's tables stand in for a store: ``documents`` for chunks (doc_id as id
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,10 @@ from lexivec.functions import vectors as V
 from lexivec.operators import bm25, chunker, embed, filters, fuse, ingest, rerank, vector
 from lexivec.oracle import SQL
 from lexivec.plans import hybrid
-from lexivec.schema import ChunkOptions
+from lexivec.schema import SCHEMA_VERSION, ChunkOptions
+from lexivec.session import scratch_root
 from lexivec.sources.registry import with_context
+from lexivec.sources.store import ChunkStore
 
 QUESTION = "ening thand with, oneres"
 K = 10
@@ -344,29 +347,48 @@ def apply_diff(spark, sf_dir):
     return left.select("path", "content_hash").unionByName(new.select("path", "content_hash"))
 
 
+def filled_store(spark, sf_dir) -> ChunkStore:
+    """The documents as chunks in a store of their own, in the scratch folder."""
+    store = ChunkStore.open_or_create(spark, f"{scratch_root(spark)}/lexivec-store-{uuid.uuid4().hex}")
+    own = chunks(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), F.lit("default").alias("collection"), T.uri_of(F.lit("default"), F.col("path")).alias("uri"), "path",
+        T.content_hash(F.col("text")).alias("content_hash"), F.lit(0).alias("mtime"), F.lit(0).alias("chunk_index"), "text",
+        T.approx_tokens(F.col("text")).alias("tokens"), F.lit(None).cast("array<float>").alias("embedding"),
+        F.lit(None).cast("string").alias("context_id"), F.lit(SCHEMA_VERSION).alias("schema_version"),
+    )
+    store.append(own)
+    return store
+
+
+def embedded_store(spark, sf_dir) -> ChunkStore:
+    """The same with the vectors of equal ids: rows without one stay null, vectors without a row don't enter."""
+    store = filled_store(spark, sf_dir)
+    store.apply_embeddings(vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "embedding"))
+    return store
+
+
 @query
 def file_hashes(spark, sf_dir):
-    own = chunks(spark, sf_dir)
-    return own.select("path", F.substring(T.content_hash(F.col("text")), 1, 2).alias("content_hash")).distinct()
+    found = filled_store(spark, sf_dir).file_hashes("default")
+    return found.select("path", F.substring("content_hash", 1, 2).alias("content_hash")).distinct()
 
 
 @query
 def delete_by_path(spark, sf_dir):
-    return chunks(spark, sf_dir).where(F.col("path") != "src0").groupBy("path").agg(F.count("*").alias("rows"))
+    store = filled_store(spark, sf_dir)
+    store.delete_by_path("default", "src0")
+    return store.table().groupBy("path").agg(F.count("*").alias("rows"))
 
 
 @query
 def merge_embeddings(spark, sf_dir):
-    """Vectors merged on id: rows without one stay null, vectors without a row don't enter."""
-    own = chunks(spark, sf_dir).select("id")
-    rows = own.join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
-    return rows.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"))
+    rows = embedded_store(spark, sf_dir).table()
+    return rows.select(F.col("id").cast("long").alias("id"), F.coalesce(F.size("embedding"), F.lit(0)).cast("long").alias("dim"))
 
 
 @query
 def unembedded_scan(spark, sf_dir):
-    own = chunks(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "embedding"), "id", "left")
-    return own.where(F.col("embedding").isNull()).select("id")
+    return embedded_store(spark, sf_dir).scan_unembedded().select(F.col("id").cast("long").alias("id"))
 
 
 @query

@@ -81,5 +81,5 @@ def run_index(spark: SparkSession, store: ChunkStore, root: str, collection: str
     empty = {r["path"]: r["content_hash"] for r in bare.select("path", "content_hash").collect()}
     held = dict(store.manifest().files)
     outside = {p: h for p, h in held.get(collection, {}).items() if not (p == root or p.startswith(root + "/"))}
-    store.replace(kept.unionByName(new), "index", files=held | {collection: outside | empty})
+    store.replace(kept.unionByName(new), "index", index=True, files=held | {collection: outside | empty})
     return IndexReport(counts["files"], new.count(), counts["skipped"], counts["removed"], counts["failed"])

@@ -31,16 +31,24 @@ class Outcome:
     fused: DataFrame | None = None
 
 
-def with_payload(scored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """What the few winners carry, joined after the cut so that ranking never moves texts."""
+#: Winners that are broadcast at most; with more, or no bound, Spark picks the join by size.
+FEW = 100_000
+
+
+def with_payload(scored: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """What the winners, at most ``k``, carry; joined after the cut so that ranking never moves texts."""
     have = [c for c in PAYLOAD if c in chunks.columns]
-    return F.broadcast(scored).join(chunks.select("id", *have), "id").select("id", *have, "score")
+    few = F.broadcast(scored) if k is not None and k <= FEW else scored
+    return few.join(chunks.select("id", *have), "id").select("id", *have, "score")
 
 
-def hybrid(chunks: DataFrame, query: str, embedding: list[float], k: int, collection: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The two ranked lists (id, score) before fusion."""
+def hybrid(
+    chunks: DataFrame, query: str, embedding: list[float], k: int, collection: str | None = None, index: bm25.LexicalIndex | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The two ranked lists (id, score) before fusion; ``index`` is one over all chunks, if there is one."""
     rows = chunks if collection is None else chunks.where(F.col("collection") == collection)
-    return bm25.search_text(rows, query, k), vector.search(rows, embedding, k)
+    lexical = bm25.search_index(index, query, k) if index is not None and collection is None else bm25.search_text(rows, query, k)
+    return lexical, vector.search(rows, embedding, k)
 
 
 def run_query(
@@ -52,10 +60,11 @@ def run_query(
     scorer: rerank.Scorer | None = None,
     config: FusionConfig = FusionConfig(),
     collection: str | None = None,
+    index: bm25.LexicalIndex | None = None,
 ) -> Outcome:
     """BM25 and vector lists fused, optionally reranked (at most 64 of them), then filtered."""
     k = effective_k(k, scorer is not None)
-    lexical, near = hybrid(chunks, query, embedding, pre_fusion_k(k), collection)
+    lexical, near = hybrid(chunks, query, embedding, pre_fusion_k(k), collection, index)
     fused = fuse.fuse({"lex": lexical, "vec": near}, config)
     scored = fused.select("id", F.col("final_score").alias("score"))
     if scorer is not None:
@@ -63,7 +72,7 @@ def run_query(
         pool = pool.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "id")))
         scored = rerank.rerank(pool.drop("score"), query, scorer).select("id", F.col("rerank_score").alias("score"))
     hits = filters.apply(scored, k, least)
-    return Outcome(filters.top_k(with_payload(hits, chunks), k), {"lex": lexical, "vec": near}, fused)
+    return Outcome(filters.top_k(with_payload(hits, chunks, k), k), {"lex": lexical, "vec": near}, fused)
 
 
 def explain(outcome: Outcome) -> DataFrame:
@@ -74,19 +83,20 @@ def explain(outcome: Outcome) -> DataFrame:
 
 
 def search(store: ChunkStore, query: str, k: int | None = DEFAULT_TOP_K, least: float | None = None) -> DataFrame:
-    """Lexical search; ``k`` None gives all. A blank query finds nothing."""
-    chunks = store.table()
-    return filters.apply(with_payload(bm25.search_text(chunks, query, k), chunks), k, least)
+    """Lexical search, in the store's index if it has one; ``k`` None gives all. A blank query finds nothing."""
+    chunks, index = store.table(), store.lexical()
+    found = bm25.search_text(chunks, query, k, stemmed=True) if index is None else bm25.search_index(index, query, k)
+    return filters.apply(with_payload(found, chunks, k), k, least)
 
 
 def vsearch(store: ChunkStore, model: Embedder, query: str, k: int | None = DEFAULT_TOP_K, least: float | None = None) -> DataFrame:
     embedding = checked_query(store, model, query)
     chunks = store.table()
-    return filters.apply(with_payload(vector.search(chunks, embedding, k), chunks), k, least)
+    return filters.apply(with_payload(vector.search(chunks, embedding, k), chunks, k), k, least)
 
 
 def query(store: ChunkStore, model: Embedder, text: str, k: int = DEFAULT_TOP_K, least: float | None = None, scorer: rerank.Scorer | None = None) -> Outcome:
-    return run_query(store.table(), text, checked_query(store, model, text), k, least, scorer)
+    return run_query(store.table(), text, checked_query(store, model, text), k, least, scorer, index=store.lexical())
 
 
 def get(store: ChunkStore, what: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """The chunk table as immutable Parquet snapshots with manifests.
 
-``root/v=N`` holds snapshot N, ``root/_meta/N.json`` its manifest. A version exists once its manifest
-does, and the manifest is moved into place after the data, so readers never see half a write and every
-version stays readable. One writer at a time is assumed. Files go through Hadoop's file system, so the
-root can be any path Spark reads.
+``root/_meta/N.json`` is the manifest of version N. It names the folder of its rows and that of its
+lexical index, which no other writer uses; a version that changes neither points at those before. A
+version exists once its manifest does, and the manifest is moved into place after the data, so readers
+never see half a write, every version stays readable, and of two writers at once one fails without harm.
+Files go through Hadoop's file system, so the root can be any path Spark reads.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec import __version__
+from lexivec.operators.bm25 import LexicalIndex, build_index, read_index, write_index
 from lexivec.schema import CHUNKS, DEFAULT_DIM, SCHEMA_VERSION, EmbedderDimMismatch, EmbedderModelMismatch, LexivecError
 
 
@@ -33,6 +35,8 @@ class Manifest:
     embedder_dim: int | None = None
     files: dict = field(default_factory=dict)
     tags: list[str] = field(default_factory=list)
+    folder: str = ""
+    lexical: str | None = None
 
 
 class Storage:
@@ -112,8 +116,12 @@ class ChunkStore:
             raise LexivecError(f"bad manifest of version {version}: {error}") from error
 
     def table(self, version: int | None = None) -> DataFrame:
-        number = self.manifest(version).version
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/v={number}")
+        return self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{self.manifest(version).folder}")
+
+    def lexical(self) -> LexicalIndex | None:
+        """The index over the texts of the newest version, stemmed and folded; None if it has none."""
+        folder = self.manifest().lexical
+        return read_index(self.spark, f"{self.root}/{folder}", stemmed=True) if folder else None
 
     def count_rows(self) -> int:
         return self.table().count()
@@ -128,7 +136,7 @@ class ChunkStore:
 
     def stats(self) -> DataFrame:
         """One row: live rows, rows without a vector, files of Parquet, versions, files indexed."""
-        parts = sum(n.endswith(".parquet") for n in self.storage.names(f"v={self.manifest().version}"))
+        parts = sum(n.endswith(".parquet") for n in self.storage.names(self.manifest().folder))
         missing = F.count(F.when(F.col("embedding").isNull(), 1))
         counted = self.table().agg(F.count("*").alias("rows"), missing.alias("unembedded"), F.countDistinct("path").alias("paths"))
         return counted.withColumns({"parquet_files": F.lit(parts), "versions": F.lit(len(self.versions_held()))})
@@ -145,17 +153,34 @@ class ChunkStore:
 
     # Writing
 
-    def _publish(self, rows: DataFrame, action: str, base: Manifest, **changes) -> Manifest:
+    def _publish(self, rows: DataFrame | None, action: str, base: Manifest, index: bool = False, **changes) -> Manifest:
+        """A new version: of rows, with an index of their texts if asked for, or of what ``base`` has."""
         held = self.versions_held()
         version = held[-1] + 1 if held else 1
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNKS]).write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        count = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/v={version}").count()
-        new = Manifest(**(asdict(base) | {"version": version, "rows": count, "created": time.time(), "action": action, "tags": []} | changes))
-        self.storage.write(f"_meta/{version}.json", json.dumps(asdict(new), indent=1))
-        return new
-
-    def replace(self, rows: DataFrame, action: str, **changes) -> Manifest:
-        return self._publish(rows, action, self.manifest(), **changes)
+        new = asdict(base) | {"version": version, "created": time.time(), "action": action, "tags": []}
+        if rows is not None:
+            folder = f"v={version}-{uuid.uuid4().hex[:12]}"
+            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHUNKS]).write.parquet(f"{self.root}/{folder}")
+            written = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/{folder}")
+            new |= {"folder": folder, "rows": written.count()}
+            if index:
+                write_index(build_index(written, stemmed=True), f"{self.root}/index-{folder}")
+                new["lexical"] = f"index-{folder}"
+        made = Manifest(**(new | changes))
+        self.storage.write(f"_meta/{version}.json", json.dumps(asdict(made), indent=1))
+        return made
+
+    def replace(self, rows: DataFrame, action: str, texts: bool = True, index: bool = False, **changes) -> Manifest:
+        """Publish other rows. An index that is there is made anew, unless no ``texts`` changed."""
+        base = self.manifest()
+        return self._publish(rows, action, base, texts and (index or base.lexical is not None), **changes)
+
+    def build_lexical(self) -> Manifest:
+        """Index the texts of the newest version."""
+        base = self.manifest()
+        folder = f"index-{uuid.uuid4().hex[:12]}"
+        write_index(build_index(self.table(), stemmed=True), f"{self.root}/{folder}")
+        return self._publish(None, "index-text", base, lexical=folder)
 
     def append(self, rows: DataFrame) -> Manifest:
         return self.replace(self.table().unionByName(rows), "append")
@@ -167,7 +192,7 @@ class ChunkStore:
         """
         given = updates.select("id", F.col("embedding").alias("new"))
         rows = self.table().join(given, "id", "left").withColumn("embedding", F.coalesce("new", "embedding")).drop("new")
-        self.replace(rows, "embed")
+        self.replace(rows, "embed", texts=False)
         return given.count()
 
     def delete_by_path(self, collection: str, path: str) -> int:
@@ -193,15 +218,19 @@ class ChunkStore:
             return False
         if now.dim != dim:
             raise EmbedderDimMismatch(now.dim, dim)
-        self.replace(self.table(), "embedder", embedder_model=model, embedder_dim=dim)
+        self._publish(None, "embedder", now, embedder_model=model, embedder_dim=dim)
         return True
 
     def compact(self, partitions: int = 8, keep: int = 1) -> Manifest:
         """One version in few, sorted files; older ones than the last ``keep`` are dropped."""
-        done = self.replace(self.table().repartition(partitions, "path").sortWithinPartitions("path", "chunk_index"), "compact")
-        for version in self.versions_held()[: -keep or None]:
-            self.storage.delete(f"_meta/{version}.json")
-            self.storage.delete(f"v={version}")
+        done = self.replace(self.table().repartition(partitions, "path").sortWithinPartitions("path", "chunk_index"), "compact", texts=False)
+        held = self.versions_held()
+        gone, left = (list(map(self.manifest, part)) for part in (held[: -keep or None], held[len(held) - keep :] if keep else []))
+        used = {x for m in left for x in (m.folder, m.lexical)}
+        for m in gone:
+            self.storage.delete(f"_meta/{m.version}.json")
+            for folder in {m.folder, m.lexical} - used - {None, ""}:
+                self.storage.delete(folder)
         return done
 
     def attach(self, view: str = "chunks", version: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import pytest
 
 from lexivec import cli
+from lexivec.operators import bm25
 from lexivec.operators.embed import HashingEmbedder, checked_query, run_embed
 from lexivec.operators.ingest import IndexReport, diff, run_index
 from lexivec.plans import hybrid
@@ -216,3 +217,26 @@ def test_cli(spark, tmp_path):
     with pytest.raises(SystemExit):
         call("search", "x", "--json", "--files")
     assert cli.main(["--dataset", str(tmp_path / "none"), "search", "x"]) == 1
+
+
+def test_the_index_of_a_store_answers_searches(spark, tmp_path):
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.md").write_text("Runners run daily. A café opens early.")
+    (folder / "b.md").write_text("Nothing of that kind.")
+    store = ChunkStore.open_or_create(spark, str(tmp_path / "store"))
+    run_index(spark, store, str(folder))
+    assert store.lexical() is not None
+    for asked in ("running", "cafe", "opening"):
+        hits = hybrid.search(store, asked)
+        assert [r["path"].rsplit("/", 1)[-1] for r in hits.collect()] == ["a.md"], asked
+    plan = bm25.search_index(store.lexical(), "running", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan and "regexp" not in plan
+    first = store.manifest()
+    store.validate_or_record_embedder("m", first.dim)
+    assert store.manifest().folder == first.folder and store.manifest().version == first.version + 1
+    (folder / "b.md").write_text("It runs now.")
+    run_index(spark, store, str(folder))
+    assert store.manifest().folder != first.folder and hybrid.search(store, "runs").count() == 2
+    store.compact()
+    assert len(store.versions_held()) == 1 and hybrid.search(store, "runs").count() == 2
