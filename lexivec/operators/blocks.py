@@ -9,8 +9,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-ATOMIC = frozenset(("code", "table", "html", "footnote"))
-
 _FENCE = re.compile(rb"^ {0,3}(`{3,}|~{3,})([^\r\n]*)")
 _ATX = re.compile(rb"^ {0,3}#{1,6}(?:[ \t\r\n]|$)")
 _SETEXT = re.compile(rb"^ {0,3}(?:=+|-+)[ \t]*\r?\n?$")
