@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.functions.batches import slices, tidy
 from lexivec.operators.blocks import Block, segment
 from lexivec.schema import ChunkOptions
 
@@ -80,19 +81,32 @@ def chunk_markdown(source: str | bytes, options: ChunkOptions = ChunkOptions(),
     return [Chunk(i, a, b, t, tokenize(t)) for i, (a, b) in enumerate(ranges) for t in [text(a, b)]]
 
 
+#: Bytes of text that a worker cuts at a time; what it holds beside them is several times as much.
+SLICE_BYTES = 500_000
+KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
 SCHEMA = "chunk_index int, start_byte long, end_byte long, chunk string, tokens int"
 
 
+def chunk_batches(parts: Iterator[pa.RecordBatch], keys: list[str], text: str, options: ChunkOptions, tokenize: Tokenize) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        for part in slices(batch, text, SLICE_BYTES):
+            at, found = [], []
+            for i, source in enumerate(part.column(text)):
+                made = chunk_markdown(source.as_py(), options, tokenize)
+                at += [i] * len(made)
+                found += [(c.index, c.start_byte, c.end_byte, c.text, min(c.token_count, 2**31 - 1)) for c in made]
+            own = part.select(keys).take(pa.array(at, pa.int64()))
+            columns = zip(*found) if found else [[]] * len(KINDS)
+            yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, columns, KINDS)], [*keys, "chunk_index", "start_byte", "end_byte", "chunk", "tokens"])
+
+
 def chunk_table(docs: DataFrame, keys: list[str], text: str = "text", options: ChunkOptions = ChunkOptions(), tokenize: Tokenize = approx_tokens) -> DataFrame:
-    """One row per chunk, with the key columns of its document."""
+    """One row per chunk, with the key columns of its document. A worker holds the chunks of one slice of texts."""
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for key, source in zip(part[keys].itertuples(index=False, name=None), part[text]):
-                rows += [(*key, c.index, c.start_byte, c.end_byte, c.text, min(c.token_count, 2**31 - 1)) for c in chunk_markdown(source, options, tokenize)]
-            yield pd.DataFrame(rows, columns=[*keys, "chunk_index", "start_byte", "end_byte", "chunk", "tokens"])
+    @tidy
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunk_batches(parts, keys, text, options, tokenize)
 
     own = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text))
     kinds = dict(own.dtypes)
-    return own.mapInPandas(batches, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + SCHEMA)
+    return own.mapInArrow(batches, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + SCHEMA)

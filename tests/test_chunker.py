@@ -1,10 +1,12 @@
 """Chunk invariants on any input, and the shapes that must stay whole."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexivec.operators.blocks import frontmatter_end, segment
+from lexivec.operators import chunker
 from lexivec.operators.chunker import approx_tokens, chunk_markdown
 from lexivec.schema import ChunkOptions
 
@@ -103,3 +105,14 @@ def test_overlap_repeats_last_paragraph():
     assert all(b.start_byte == a.end_byte for a, b in zip(without, without[1:])) or all(
         b.start_byte <= a.end_byte for a, b in zip(without, without[1:])
     )
+
+
+def test_chunk_table_works_in_slices_and_keeps_keys(spark):
+    texts = [("word " * 40 + "\n\n") * 20] * 500
+    given = pa.RecordBatch.from_pydict({"id": list(range(500)), "text": texts})
+    made = list(chunker.chunk_batches(iter([given]), ["id"], "text", SMALL, approx_tokens))
+    assert max(b.nbytes for b in made) < 3 * chunker.SLICE_BYTES
+    want = [(i, c.index, c.text) for i in range(500) for c in chunk_markdown(texts[i], SMALL)]
+    assert [(r["id"], r["chunk_index"], r["chunk"]) for b in made for r in b.to_pylist()] == want
+    docs = spark.createDataFrame([(2**53 + 1, "x"), (None, "y"), (3, None)], "id long, text string").coalesce(1)
+    assert [tuple(r) for r in chunker.chunk_table(docs, ["id"]).collect()] == [(2**53 + 1, 0, 0, 1, "x", 1), (None, 0, 0, 1, "y", 1)]
