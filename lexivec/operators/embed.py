@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.functions.batches import slices, tidy
 from lexivec.schema import DEFAULT_DIM, EMBED_BATCH, LexivecError
 from lexivec.session import materialise
 from lexivec.sources.store import ChunkStore
@@ -59,18 +61,27 @@ class EmbedReport:
     dim: int
 
 
+def embed_batches(parts: Iterator[pa.RecordBatch], make: Callable[[], Embedder], batch: int) -> Iterator[pa.RecordBatch]:
+    model = make()
+    for part in parts:
+        for some in slices(part):
+            texts = some.column("text").to_pylist()
+            known = [i for i, t in enumerate(texts) if t and re.search(r"[^\W_]", t)]
+            for at in range(0, len(known), batch):
+                own = known[at : at + batch]
+                found = np.asarray(model.embed([texts[i] for i in own]), np.float32)
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * found.shape[1])
+                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(own)), pa.ListArray.from_arrays(ends, found.ravel())], ["id", "embedding"])
+
+
 def embed_table(rows: DataFrame, make: Callable[[], Embedder], batch: int = EMBED_BATCH) -> DataFrame:
-    """(id, embedding) of (id, text); a text without tokens gets no vector."""
+    """(id, embedding) of (id, text); a text without tokens gets no vector. A worker holds one slice of texts."""
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for part in parts:
-            part = part[part["text"].str.contains(r"[^\W_]", regex=True)]
-            for at in range(0, len(part), batch):
-                own = part.iloc[at : at + batch]
-                yield pd.DataFrame({"id": own["id"], "embedding": model.embed(own["text"].tolist())})
+    @tidy
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return embed_batches(parts, make, batch)
 
-    return rows.select("id", "text").mapInPandas(batches, "id string, embedding array<float>")
+    return rows.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(batches, "id string, embedding array<float>")
 
 
 def run_embed(store: ChunkStore, make: Callable[[], Embedder]) -> EmbedReport:

@@ -5,13 +5,14 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexivec.functions.stem import analyzed, fold, stem
 from lexivec.functions.text import RERANK_INSTRUCTION, RERANK_PROMPT, preview_line, render_prompt, under, yes_no_softmax
 from lexivec.functions.vectors import cosine_to
-from lexivec.operators import bm25, filters, fuse, rerank, vector
+from lexivec.operators import bm25, embed, filters, fuse, rerank, vector
 from lexivec.plans import hybrid, output
 from lexivec.schema import FusionConfig, LexivecError
 
@@ -81,6 +82,24 @@ def test_bm25_batch_equals_brute_force_and_shuffles_only_winners(spark, monkeypa
     assert bm25.search_batch_text(docs.limit(0), queries, 4).count() == 0
 
 
+def test_embedding_works_in_slices(spark, monkeypatch):
+    calls = []
+
+    class Counting(embed.HashingEmbedder):
+        def embed(self, texts):
+            calls.append(sum(map(len, texts)))
+            return super().embed(texts)
+
+    rows = [(str(i), f"word{i} " * 2000) for i in range(400)] + [("none", None), ("blank", " _ "), ("last", "é 漢")]
+    given = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["id", "text"])
+    made = [r for b in embed.embed_batches(iter([given]), lambda: Counting(8), 256) for r in b.to_pylist()]
+    assert max(calls) < 2_600_000 < sum(calls)
+    assert [r["id"] for r in made] == [i for i, t in rows if i not in ("none", "blank")]
+    assert made[7]["embedding"] == pytest.approx(embed.HashingEmbedder(8).one(rows[7][1]))
+    docs = spark.createDataFrame(rows[-3:], "id string, text string").coalesce(1)
+    assert [(r["id"], len(r["embedding"])) for r in embed.embed_table(docs, lambda: embed.HashingEmbedder(8)).collect()] == [("last", 8)]
+
+
 def test_stemmed_search_joins_no_tokens_and_equals_the_index(spark):
     assert all(analyzed(t)[:1] == t[:1] for a in itertools.product("aybtls", repeat=3) for e in ("", "ies", "y", "ed", "ing", "eed", "s", "ll", "ational", "e") for t in ["".join(a) + e, a[0] + e] if t)
     docs = texts(spark, "Running runs, run! ÉTAT", "a runner ran", None, "", "états etats runs", "nothing").coalesce(1)
