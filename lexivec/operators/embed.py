@@ -105,6 +105,11 @@ def checked_query(store: ChunkStore, model: Embedder, query: str) -> list[float]
     return model.embed([query])[0]
 
 
-def unembedded_longest(chunks: DataFrame, n: int) -> DataFrame:
-    size = F.length("text")
-    return chunks.where(F.col("embedding").isNull()).select("id", size.alias("chars")).orderBy(F.desc("chars"), "id").limit(n)
+def unembedded_longest(chunks: DataFrame, n: int, vectors: DataFrame | None = None) -> DataFrame:
+    """(id, chars) of the longest rows without a vector, in a column or in ``vectors`` (id, embedding)."""
+    size = F.length("text").alias("chars")
+    if vectors is None:
+        left = chunks.where(F.col("embedding").isNull()).select("id", size)
+    else:
+        left = chunks.select("id", size).join(vectors.where(F.col("embedding").isNotNull()).select("id"), "id", "left_anti")
+    return left.orderBy(F.desc("chars"), "id").limit(n)

@@ -15,11 +15,15 @@ from lexivec.operators.bm25 import top
 
 def search(vectors: DataFrame, query: list[float], k: int | None = 10) -> DataFrame:
     """(id, score), best first; rows without an embedding never match, an empty query matches nothing."""
+    return top(scored(vectors, query), k)
+
+
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(id, score) of all that match, in no order."""
     if not len(query):
         return vectors.select("id").limit(0).withColumn("score", F.lit(0.0))
     known = vectors.where(F.col("embedding").isNotNull())
-    scored = known.select("id", cosine_to(F.col("embedding"), query).alias("score")).where(F.col("score").isNotNull())
-    return top(scored, k)
+    return known.select("id", cosine_to(F.col("embedding"), query).alias("score")).where(F.col("score").isNotNull())
 
 
 def with_distance(hits: DataFrame) -> DataFrame:

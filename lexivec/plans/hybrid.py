@@ -43,12 +43,24 @@ def with_payload(scored: DataFrame, chunks: DataFrame, k: int | None = None) ->
 
 
 def hybrid(
-    chunks: DataFrame, query: str, embedding: list[float], k: int, collection: str | None = None, index: bm25.LexicalIndex | None = None
+    chunks: DataFrame,
+    query: str,
+    embedding: list[float],
+    k: int,
+    collection: str | None = None,
+    index: bm25.LexicalIndex | None = None,
+    vectors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The two ranked lists (id, score) before fusion; ``index`` is one over all chunks, if there is one."""
+    """The two ranked lists (id, score) before fusion; ``index`` is one over all chunks, if there is one.
+
+    ``vectors`` (id, embedding) is where they aren't a column of the chunks; those without a chunk don't
+    count. Only ids and scores meet, never texts.
+    """
     rows = chunks if collection is None else chunks.where(F.col("collection") == collection)
     lexical = bm25.search_index(index, query, k) if index is not None and collection is None else bm25.search_text(rows, query, k)
-    return lexical, vector.search(rows, embedding, k)
+    if vectors is None:
+        return lexical, vector.search(rows, embedding, k)
+    return lexical, bm25.top(vector.scored(vectors, embedding).join(rows.select("id"), "id", "left_semi"), k)
 
 
 def run_query(
@@ -61,14 +73,15 @@ def run_query(
     config: FusionConfig = FusionConfig(),
     collection: str | None = None,
     index: bm25.LexicalIndex | None = None,
+    vectors: DataFrame | None = None,
 ) -> Outcome:
     """BM25 and vector lists fused, optionally reranked (at most 64 of them), then filtered."""
     k = effective_k(k, scorer is not None)
-    lexical, near = hybrid(chunks, query, embedding, pre_fusion_k(k), collection, index)
+    lexical, near = hybrid(chunks, query, embedding, pre_fusion_k(k), collection, index, vectors)
     fused = fuse.fuse({"lex": lexical, "vec": near}, config)
     scored = fused.select("id", F.col("final_score").alias("score"))
     if scorer is not None:
-        pool = scored.limit(RERANK_FAN_IN).join(chunks.select("id", "text"), "id")
+        pool = F.broadcast(scored.limit(RERANK_FAN_IN)).join(chunks.select("id", "text"), "id")
         pool = pool.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "id")))
         scored = rerank.rerank(pool.drop("score"), query, scorer).select("id", F.col("rerank_score").alias("score"))
     hits = filters.apply(scored, k, least)
